@@ -14,7 +14,7 @@ from lexforge.llm.tokens import DEFAULT_VOCABULARY, token_count
 
 def source_key(source: Column) -> Column:
     """The source as it is compared: trimmed (of any white space), lower case."""
-    return F.lower(F.regexp_replace(source, r"^[\s ]+|[\s ]+$", ""))
+    return F.lower(F.regexp_replace(source, r"^[\s\u00A0]+|[\s\u00A0]+$", ""))
 
 
 def sized(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import mixing, quantiles
+from lexforge.llm import mixing, quantiles, residue
 from lexforge.llm.sql import SQL
 from lexforge.operators.dedup import one_per_key
 from lexforge.session import cut
@@ -48,9 +48,24 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(mixing.copies(sizes, rates), rates)
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.flagged(table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.without_residue(table(spark, folder, "documents"))
+
+
+def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.flagged(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p4_percentiles": p4_percentiles,
     "p4_daily_digests": p4_daily_digests,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_clean": p8_clean,
+    "p8_reasons": p8_reasons,
 }
