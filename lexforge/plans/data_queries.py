@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.operators import drift, nested
 from lexforge.operators.dedup import one_per_key
+from lexforge.session import cut
 from lexforge.sources.tables import table
 
 
@@ -39,12 +40,17 @@ def _p1_flat(kind: str):
     return lambda spark, folder: nested.flat_table(nested.link_by_containment(_nodes(spark, folder, bodies=True)), kind, P1_TABLES[kind])
 
 
+def _carried(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalogue (a few rows per file), written once: several windows read it."""
+    return cut(drift.catalogue(table(spark, folder, "raw_records")), "p3-catalogue")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.changes(drift.catalogue(table(spark, folder, "raw_records"))).select("file_name", "field_name", "change_kind")
+    return drift.changes(_carried(spark, folder)).select("file_name", "field_name", "change_kind")
 
 
 def p3_lifespans(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.lifespans(drift.catalogue(table(spark, folder, "raw_records"))).drop("island")
+    return drift.lifespans(_carried(spark, folder)).drop("island")
 
 
 def p3_table(spark: SparkSession, folder: str) -> DataFrame:
