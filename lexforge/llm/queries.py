@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import mixing, quantiles, residue
+from lexforge.llm import mixing, neardup, quantiles, residue
 from lexforge.llm.sql import SQL
 from lexforge.operators.dedup import one_per_key
 from lexforge.session import cut
@@ -37,6 +37,19 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("metric", "legal_family", "quantile", "n", value.alias("value"), "rank_error_bound")
 
 
+def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [table(spark, folder, t).select(F.lit(t).alias("collection"), F.col(k).alias("id"), "text") for t, k in (("parent_chunks", "parent_chunk_id"), ("child_chunks", "child_chunk_id"))]
+    return parts[0].union(parts[1])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.alike_pairs(_chunk_texts(spark, folder), 3, 0.6).withColumnRenamed("collection", "table_name")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(_chunk_texts(spark, folder), 3, 0.6).withColumnRenamed("collection", "table_name")
+
+
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     sizes = cut(mixing.sized(table(spark, folder, "documents")), "p7-sizes")
     return mixing.emit(mixing.copies(sizes, mixing.plan(sizes, table(spark, folder, "mix_targets"))))
@@ -63,6 +76,8 @@ def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p4_percentiles": p4_percentiles,
     "p4_daily_digests": p4_daily_digests,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
     "p8_found": p8_found,
