@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import mixing, neardup, quantiles, residue
+from lexforge.llm import mixing, neardup, pii, quantiles, residue
 from lexforge.llm.sql import SQL
 from lexforge.operators.dedup import one_per_key
 from lexforge.session import cut
@@ -16,6 +16,23 @@ __all__ = ["QUERIES", "SQL"]
 QUANTILES = (0.5, 0.9, 0.95, 0.99, 0.999)
 
 
+def _free_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """table_name, record_key, field_name, text of every text that names people, each record once."""
+    parents = one_per_key(table(spark, folder, "parent_chunks"), ["parent_chunk_id"], ["ingested_at"], ["text"])
+    items = one_per_key(table(spark, folder, "review_queue"), ["review_item_id"], ["exported_at"], ["query", "final_answer"])
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in ("query", "final_answer")]))
+    of_items = items.select(F.lit("review_queue").alias("table_name"), F.col("review_item_id").alias("record_key"), fields.alias("f")).select("table_name", "record_key", "f.field_name", "f.text")
+    return parents.select(F.lit("parent_chunks").alias("table_name"), F.col("parent_chunk_id").alias("record_key"), F.lit("text").alias("field_name"), "text").union(of_items)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(_free_texts(spark, folder)).drop("end_pos")
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.masked("text", _free_texts(spark, folder))
+
+
 def _measures(spark: SparkSession, folder: str) -> DataFrame:
     """One row per request and measured value: metric, legal_family, day, units (latency in ms, cost in millionths of a dollar)."""
     requests = one_per_key(table(spark, folder, "request_metrics"), ["request_id"], ["received_at"], ["legal_family", "latency_ms", "cost_usd", "recorded_at"])
@@ -74,6 +91,8 @@ def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_masked": p2_masked,
     "p4_percentiles": p4_percentiles,
     "p4_daily_digests": p4_daily_digests,
     "p5_found": p5_found,
