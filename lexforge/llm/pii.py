@@ -315,7 +315,9 @@ def trained(rounds: int = 150, rate: float = 0.6, ridge: float = 0.01) -> tuple[
     for marked in SEEDS:
         text, gold = unmark(marked)
         found = segments(text)
-        true = [s for s in found if s[:3] in gold]
+        # a candidate is right if it begins where the detail does; of several, the longest
+        at = {(start, kind): max((s for s in found if (s[0], s[2]) == (start, kind)), key=lambda s: s[1], default=None) for start, _, kind in gold}
+        true = [s for s in found if at.get((s[0], s[2])) is s]
         data.append((found, true))
     weights: dict[str, float] = {}
     grown: dict[str, float] = {}
