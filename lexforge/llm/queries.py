@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import mixing, neardup, pii, quantiles, residue
+from lexforge.llm import mixing, neardup, packing, pii, quantiles, residue
 from lexforge.llm.sql import SQL
+from lexforge.llm.tokens import token_count
 from lexforge.operators.dedup import one_per_key
 from lexforge.session import cut
 from lexforge.sources.tables import table
@@ -67,6 +68,24 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(_chunk_texts(spark, folder), 3, 0.6).withColumnRenamed("collection", "table_name")
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    specs = table(spark, folder, "container_specs").select("container_id", "container_name", "capacity_tokens").limit(1001).collect()
+    if len(specs) > 1000:
+        raise ValueError("container_specs is a parameter table of at most 1000 rows")
+    documents = table(spark, folder, "documents")
+    sizes = documents.select("doc_id", token_count(F.col("text")).alias("tokens"), F.rand(7).alias("salt"))
+    sizes = cut(sizes.withColumn("t", F.explode(F.when(F.col("tokens") > 0, F.array("tokens")))).select("doc_id", "tokens", "salt"), "p6-sizes")
+    return packing.pack(sizes, [tuple(r) for r in specs], sizes.count())
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(_packed(spark, folder))
+
+
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     sizes = cut(mixing.sized(table(spark, folder, "documents")), "p7-sizes")
     return mixing.emit(mixing.copies(sizes, mixing.plan(sizes, table(spark, folder, "mix_targets"))))
@@ -97,6 +116,8 @@ QUERIES = {
     "p4_daily_digests": p4_daily_digests,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_containers": p6_containers,
+    "p6_report": p6_report,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
     "p8_found": p8_found,
