@@ -50,12 +50,11 @@ _LATIN = (
 _PART = "heading|title|text|content|paragraph|clause|wording|body copy|copy|section|sentence"
 _PLACE = r"will appear here|goes here|here|for layout only|to be replaced|to show how the page looks|[-–] ?do not file|[-–] ?overwrite before use"
 
-#: Filler anywhere in the text.
-FILLER_RUNS = (
-    rf"(?iu)(?:\b(?:{_LATIN})\p{{L}}{{0,4}}\b[\s,.;]+){{4,}}",
-    r"(?iu)\b([\p{L}\p{N}]{2,12})(?:[\s,.]+\1\b){4,}",
-    r"(?iu)(?:\b(?:foo|bar|baz|qux|asdf|qwer|qwerty|zxcv|hjkl|abc|def|123|test|blah|bla|more|text|x{2,8}|z{2,8})\b[\s.,]*){6,}",
-)
+#: Four words of filler Latin in a row, in lower-case text.
+LATIN_RUN = rf"(?:\b(?:{_LATIN})\p{{L}}{{0,4}}\b[\s,.;]+){{4,}}"
+
+#: Texts without any of these hold no such run worth the search.
+LATIN_CUES = ("lorem", "ipsum", "dolor", "consect", "adipis", "cillum", "volupt", "pariatu", "reprehen", "ullam", "irur", "fugi", "eufug", "incidu", "velit", "aliqu", "veniam", "veniat", "nullam", "magnum", "minima", "nisiu", "elitra", "nostr")
 
 #: Filler as a whole unit.
 FILLER_UNITS = (
@@ -147,6 +146,13 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     return hit
 
 
+def _monotone(unit: Column) -> Column:
+    """A unit of one word said five times or more, or of ten words or more with each said four times on average."""
+    words = F.split(F.trim(unit), " ")
+    distinct = F.size(F.array_distinct(F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^\\p{L}\\p{N}]", "")))))
+    return F.when(F.size(words) >= 5, (distinct == 1) | ((F.size(words) >= 10) & (distinct * 4 <= F.size(words)))).otherwise(False)
+
+
 def evidence(documents: DataFrame) -> DataFrame:
     """doc_id with the kind of strong evidence (template, filler, notice, or null) and, for short weak texts, their masked body's fingerprint.
 
@@ -154,24 +160,23 @@ def evidence(documents: DataFrame) -> DataFrame:
     """
     d = documents.filter(F.col("text").rlike(r"\S")).withColumn("_t", cleaned(F.col("text")))
     d = d.withColumn("_q", F.regexp_replace("_t", r"\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|„[^“\n]{1,120}“", " "))
-    lines = F.regexp_replace("_q", r"</?(?iu:html|head|body|title|h[1-6]|p|div|br|span|noscript)[^<>]{0,80}>", "\n")
-    # a unit of over 200 characters can't be a notice, and the patterns are anchored: they are tried on short units only
-    d = d.withColumn("_u", F.filter(F.split(lines, r"\n+|(?<=[.!?])\s+"), lambda u: (F.length(u) > 2) & (F.length(u) <= 200)))
-    units = F.array_join("_u", "\n")
-    by_line = tuple(p.replace("(?iu)", "(?imu)", 1) if p.startswith("(?iu)") else "(?m)" + p for p in FILLER_UNITS + NOTICE_UNITS)
-    signs = F.col("_q").rlike(r"[{\[<«@%#_~$(]|XX")
-    d = d.withColumn("_units", units)
-    # a unit of ten words or more in which each distinct word occurs four times on average says nothing
-    monotone = F.exists("_u", lambda u: (F.size(F.split(u, " ")) >= 10) & (F.size(F.array_distinct(F.split(F.lower(u), "[^\\p{L}\\p{N}]+"))) * 4 <= F.size(F.split(u, " "))))
+    lines = F.regexp_replace("_q", r"</?(?i:html|head|body|title|h[1-6]|p|div|br|span|noscript)[^<>]{0,80}>", "\n")
+    d = d.withColumn("_all", F.split(lines, r"\n+|(?<=[.!?])\s+"))
+    # a unit of over 200 characters can't be a notice; the patterns are anchored, so one that doesn't fit fails at its first words
+    d = d.withColumn("_u", F.filter("_all", lambda u: (F.length(u) > 2) & (F.length(u) <= 200)))
+    d = d.withColumn("_l", F.lower("_q"))
+    latin = F.lit(False)
+    for cue in LATIN_CUES:
+        latin = latin | F.contains("_l", F.lit(cue))
     kind = (
-        F.when(signs & _any(F.col("_q"), PLACEHOLDERS), "template")
-        .when(_any(F.col("_q"), FILLER_RUNS) | _any(F.col("_units"), by_line[: len(FILLER_UNITS)]) | monotone, "filler")
-        .when(_any(F.col("_t"), RAW_NOTICES) | _any(F.col("_units"), by_line[len(FILLER_UNITS) :]), "notice")
+        F.when(_any(F.col("_q"), PLACEHOLDERS), "template")
+        .when((latin & F.col("_l").rlike(LATIN_RUN)) | F.exists("_u", lambda u: _any(u, FILLER_UNITS)) | F.exists("_all", _monotone), "filler")
+        .when(_any(F.col("_t"), RAW_NOTICES) | F.exists("_u", lambda u: _any(u, NOTICE_UNITS)), "notice")
     )
     words = F.regexp_count("_q", F.lit(r"[\p{L}\p{N}]+"))
     slug = F.filter(F.split(F.lower(F.concat_ws(" ", "document_type", "jurisdiction")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
     title = F.regexp_extract("_t", r"(?m)^#{1,6} +(\S.*)$", 1)
-    body = F.lower("_q")
+    body = F.col("_l")
     mismatch = (title == "") & ~F.exists(slug, lambda w: F.contains(body, w))
     mask = F.regexp_replace(F.regexp_replace(body, r"\p{L}{0,2}\p{N}+", "0"), r"[^\p{L}0]+", " ")
     weak = kind.isNull() & (words <= SHORT_WORDS) & mismatch & F.col("_q").rlike(WEAK)
@@ -183,7 +188,9 @@ def flagged(documents: DataFrame, copies: int = 3) -> DataFrame:
 
     kind `duplicate` marks short weak texts whose masked body occurs at least `copies` times, from at least two hosts or matters.
     """
-    found = cut(evidence(documents).filter("kind IS NOT NULL OR fingerprint IS NOT NULL"), "residue")
+    # an explode, not a filter: a filter would be pushed below and repeat the text work for each detector
+    has = F.explode(F.filter(F.array(F.struct("kind", "fingerprint")), lambda e: e.kind.isNotNull() | e.fingerprint.isNotNull()))
+    found = cut(evidence(documents).select("doc_id", "host", "matter_id", has.alias("e")).select("doc_id", "host", "matter_id", "e.*"), "residue")
     weak = found.filter("kind IS NULL")
     hosts = weak.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("host").alias("h0"), F.max("host").alias("h1"), F.min("matter_id").alias("m0"), F.max("matter_id").alias("m1"))
     repeated = hosts.filter((F.col("n") >= copies) & ((F.col("h0") != F.col("h1")) | (F.col("m0") != F.col("m1")))).select("fingerprint")
