@@ -41,12 +41,16 @@ def plain_text(markdown: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), _stripped), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), _stripped), lambda s: s != "")
 
 
 def query_terms(text: Column) -> Column:
