@@ -173,14 +173,15 @@ def evidence(documents: DataFrame) -> DataFrame:
         .when((latin & F.col("_l").rlike(LATIN_RUN)) | F.exists("_u", lambda u: _any(u, FILLER_UNITS)) | F.exists("_all", _monotone), "filler")
         .when(_any(F.col("_t"), RAW_NOTICES) | F.exists("_u", lambda u: _any(u, NOTICE_UNITS)), "notice")
     )
+    d = d.withColumn("kind", kind)
     words = F.regexp_count("_q", F.lit(r"[\p{L}\p{N}]+"))
     slug = F.filter(F.split(F.lower(F.concat_ws(" ", "document_type", "jurisdiction")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
     title = F.regexp_extract("_t", r"(?m)^#{1,6} +(\S.*)$", 1)
     body = F.col("_l")
     mismatch = (title == "") & ~F.exists(slug, lambda w: F.contains(body, w))
     mask = F.regexp_replace(F.regexp_replace(body, r"\p{L}{0,2}\p{N}+", "0"), r"[^\p{L}0]+", " ")
-    weak = kind.isNull() & (words <= SHORT_WORDS) & mismatch & F.col("_q").rlike(WEAK)
-    return d.select("doc_id", F.lower(F.trim("source")).alias("host"), "matter_id", kind.alias("kind"), F.when(weak, F.xxhash64(mask)).alias("fingerprint"))
+    weak = F.col("kind").isNull() & (words <= SHORT_WORDS) & mismatch & F.col("_q").rlike(WEAK)
+    return d.select("doc_id", F.lower(F.trim("source")).alias("host"), "matter_id", "kind", F.when(weak, F.xxhash64(mask)).alias("fingerprint"))
 
 
 def flagged(documents: DataFrame, copies: int = 3) -> DataFrame:
