@@ -17,7 +17,7 @@ def read_documents(spark: SparkSession, path: str, convert_pdf: Callable[[bytes]
     """(documents, warnings) of a folder or glob.
 
     documents: document_id (a content hash), source, source_name, text, pages. A file with another suffix, an unreadable PDF, and any PDF
-    without a converter give a warning row (source, warning) and no document. Empty files are documents with an empty text.
+    without a converter give a warning row (source, warning) and no document. Empty files hold no text and give no document (the reader skips them).
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     files = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
