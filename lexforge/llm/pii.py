@@ -116,7 +116,9 @@ def _numbers(text: str) -> Iterator[Segment]:
         f = ["bias", f"form={kind}"] + (["unit"] if m["unit"] else []) + (["tail"] if m["tail"] else [])
         f += ["bare_box"] if kind == "box" and m.group()[0] in "bB" else []
         f += ["money_left"] if re.search(r"(?:[$£€]|CAD|USD|EUR|dollars)\s*$", text[max(0, m.start() - 8) : m.start()]) else []
-        yield m.start(), m.end(), "address", tuple(f)
+        # the dot of an abbreviation is the address's, that of a sentence isn't
+        ends = re.search(r"(\w+)\.$", m.group())
+        yield m.start(), m.end() - bool(ends and len(ends[1]) > 4), "address", tuple(f)
 
 
 def _surname(word: str) -> bool:
