@@ -14,7 +14,7 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "doe
 
 def whitespace_tokens(text: Column) -> Column:
     """Lower-case tokens between Unicode white space; null and blank texts give an empty list."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANK), "")
 
 
 def word_tokens(text: Column) -> Column:

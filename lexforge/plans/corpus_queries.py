@@ -9,12 +9,13 @@ from lexforge.functions import text as t
 from lexforge.operators import analytics as a
 from lexforge.operators.chunking import chunk
 from lexforge.operators.dedup import one_per_key
+from lexforge.session import spread
 from lexforge.sources.tables import table
 from lexforge.streaming import metrics as stream
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def _children(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from lexforge.operators import retrieval as r
 from lexforge.operators.dedup import one_per_key
-from lexforge.session import cut
+from lexforge.session import cut, spread
 from lexforge.sources.tables import table
 
 EVERY = 100
 
 
 def _corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "document_type", "jurisdiction")
+    return spread(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "document_type", "jurisdiction"))
 
 
 def _queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return r.corpus_stats(_corpus(spark, folder)).select("documents", F.round("mean_length", 6).alias("mean_length"))
+    return r.corpus_stats(r.postings(_corpus(spark, folder))).select("documents", F.round("mean_length", 6).alias("mean_length"))
 
 
 def term_document_frequency(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +43,8 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The two lists that are fused, written once each: both sides of a fusion read the same lists."""
-    return cut(token_overlap_topk(spark, folder), "overlap"), cut(keyword_topk(spark, folder), "keyword")
+    index, queries = r.build_index(_corpus(spark, folder)), _queries(spark, folder)
+    return cut(r.token_overlap(index, queries), "overlap"), cut(r.keyword(index, queries), "keyword")
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,6 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as the session has cores: only a table of fewer input splits (a small one) is repartitioned.
+
+    For work that is heavy per row; at scale a table has far more splits and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here and later stages survive lost executors."""
     spark = df.sparkSession
