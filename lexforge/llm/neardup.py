@@ -160,11 +160,16 @@ def jaccard(text_a: Column, text_b: Column, width: int) -> Column:
     return of(text_a, text_b)
 
 
+def _with_class(records: DataFrame, width: int) -> DataFrame:
+    """The records that have shingles, with their class. An explode drops the others: a filter on the class would hash each text twice."""
+    found = records.filter(F.col("text").isNotNull()).withColumn("_c", class_of(F.col("text"), F.col("collection"), width))
+    return found.withColumn("class", F.explode(F.filter(F.array("_c"), lambda c: c.isNotNull()))).drop("_c")
+
+
 def alike_classes(records: DataFrame, width: int, threshold: float) -> DataFrame:
     """Verified pairs of classes: class_a, class_b, similarity (at least `threshold`)."""
     found = candidates(band_keys(records, width))
-    texts = records.filter(F.col("text").isNotNull()).select(class_of(F.col("text"), F.col("collection"), width).alias("class"), "text").filter("class IS NOT NULL")
-    one = texts.groupBy("class").agg(F.min("text").alias("text"))
+    one = _with_class(records, width).groupBy("class").agg(F.min("text").alias("text"))
     a, b = one.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), one.select(F.col("class").alias("class_b"), F.col("text").alias("text_b"))
     pairs = found.join(a, "class_a").join(b, "class_b")
     return pairs.select("class_a", "class_b", jaccard(F.col("text_a"), F.col("text_b"), width).alias("similarity")).filter(F.col("similarity") >= threshold)
@@ -172,8 +177,7 @@ def alike_classes(records: DataFrame, width: int, threshold: float) -> DataFrame
 
 def members(records: DataFrame, width: int) -> DataFrame:
     """collection, id, class of each record with shingles; repeated rows of an id count once."""
-    m = records.filter(F.col("text").isNotNull() & F.col("id").isNotNull()).select("collection", "id", class_of(F.col("text"), F.col("collection"), width).alias("class"))
-    return m.filter("class IS NOT NULL").distinct()
+    return _with_class(records.filter(F.col("id").isNotNull()), width).select("collection", "id", "class").distinct()
 
 
 def alike_pairs(records: DataFrame, width: int, threshold: float) -> DataFrame:
