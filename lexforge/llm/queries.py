@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm import mixing, neardup, packing, pii, quantiles, residue
@@ -55,6 +55,21 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("metric", "legal_family", "quantile", "n", value.alias("value"), "rank_error_bound")
 
 
+def p4_error_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Each percentile's bucket against the exact ranks: whether the wanted rank lies within the stated bound of the bucket's ranks."""
+    keys = ["metric", "legal_family"]
+    measures = cut(_measures(spark, folder).select(*keys, "units"), "p4-measures")
+    found = quantiles.percentiles(quantiles.digest(measures, keys, "units"), keys, QUANTILES)
+    found = found.withColumn("bucket", quantiles.bucket(F.col("units")))
+    # exact ranks of each bucket, from counts per bucket
+    buckets = measures.groupBy(*keys, quantiles.bucket(F.col("units")).alias("bucket")).agg(F.count("*").alias("c"))
+    ranks = buckets.withColumn("last", F.sum("c").over(Window.partitionBy(*keys).orderBy("bucket")))
+    below = found.join(ranks, keys).groupBy(*keys, "quantile", found.n, "rank_error_bound").agg(F.max(F.when(ranks.bucket < found.bucket, F.col("last"))).alias("low"), F.max(F.when(ranks.bucket <= found.bucket, F.col("last"))).alias("high"))
+    wanted = F.greatest(F.ceil(F.col("quantile") * F.col("n")), F.lit(1))
+    within = (wanted >= F.coalesce("low", F.lit(0)) + 1 - F.col("rank_error_bound")) & (wanted <= F.coalesce("high", F.lit(0)) + F.col("rank_error_bound"))
+    return below.select(*keys, "quantile", "n", within.alias("within_bound"))
+
+
 def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
     parts = [table(spark, folder, t).select(F.lit(t).alias("collection"), F.col(k).alias("id"), "text") for t, k in (("parent_chunks", "parent_chunk_id"), ("child_chunks", "child_chunk_id"))]
     return parts[0].union(parts[1])
@@ -114,6 +129,7 @@ QUERIES = {
     "p2_masked": p2_masked,
     "p4_percentiles": p4_percentiles,
     "p4_daily_digests": p4_daily_digests,
+    "p4_error_check": p4_error_check,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_containers": p6_containers,
