@@ -59,6 +59,7 @@ LATIN_CUES = ("lorem", "ipsum", "dolor", "consect", "adipis", "cillum", "volupt"
 #: Filler as a whole unit.
 FILLER_UNITS = (
     rf"(?iu)^\W*(?:insert )?(?:your|example|sample|dummy|placeholder|test|generic|filler|mock) (?:{_PART})(?: (?:{_PART}))?\s*(?:{_PLACE})?\W*$",
+    r"(?iu)^\W*(?:(?:x{2,}|z{2,})\b\s*){3,}\W*$",
     r"(?iu)^\W*(?:votre texte ici|texte fictif|texte d'exemple|paragraphe d'exemple|faux texte|ins[ée]rer (?:le|votre|ici) (?:contenu|texte))\b.{0,50}$",
     r"(?iu)^\W*(?:beispiel(?:absatz|text)|blindtext|platzhalter(?:text)?|mustertext|f[üu]lltext|ihr text hier|hier steht ihr text|hier text einf[üu]gen)\b.{0,50}$",
     r"(?iu)^\W*(?:p[áa]rrafo de ejemplo|texto de (?:relleno|ejemplo|muestra)|su texto aqu[íi]|texto aqu[íi]|inserte (?:su|el) (?:texto|contenido))\b.{0,50}$",
@@ -70,13 +71,13 @@ _REASON = (
     "too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|insufficient storage|unprocessable (?:entity|content)|not found|http version not supported"
 )
 _THING = (
-    r"(?:(?:the|this|that|your|our|an?|it|la|le|cette|die|das|der|el) )?(?:\p{L}+ ){0,3}?(?:file|page|document|record|exhibit|transcript|scan|attachment|item|entry|link|session|token|permit|archive|service|registry|portal|viewer|"
+    r"(?:(?:the|this|that|your|our|an?|it|la|le|cette|die|das|der|el) )?(?:\p{L}+ ){0,3}?(?:file|page|document|record|exhibit|transcript|scan|attachment|item|entry|link|session|token|permit|login|password|connection|archive|service|registry|portal|viewer|"
     r"site|docket|server|app|application|player|form|preview|account|download|image|folder|resource|url)s?(?: (?:you asked for|to view|requested))?(?: (?:[a-z]{0,2}-?\d+))?"
 )
 _OPEN = r"(?:(?:sorry|oops|notice|error|warning|we are sorry|we're sorry|access denied|login required|fatal)\s*[.,!:-]*\s*)?"
 _STATE = (
     r"(?:(?:could ?not|couldn't|can ?not|can't) be (?:loaded|found|opened|read|shown|displayed|converted|rendered|processed|reached)(?: to text)?|(?:could not|couldn't|failed to) (?:open|load|render|convert|start|respond)|do(?:es)? not exist|no longer exists?|"
-    r"(?:has|have) (?:been (?:moved|deleted|removed|revoked|moved or deleted)|expired|timed out)|(?:is|are) (?:temporarily |currently |momentarily )?(?:unavailable|not available|no longer available|offline|corrupted|corrupted or password protected|password protected|not valid|invalid|"
+    r"(?:has|have) (?:been (?:moved|deleted|removed|revoked|moved or deleted)|expired|timed out)|(?:is|are) (?:temporarily |currently |momentarily )?(?:unavailable|not available|no longer available|offline|overloaded|busy|too busy|corrupted|corrupted or password protected|password protected|not valid|invalid|"
     r"not accessible(?: with your account)?|down(?: for maintenance)?|under(?:going)? (?:scheduled )?maintenance)|(?:was|were) (?:revoked|not found|moved|deleted|rejected)|timed out|expired)"
 )
 
@@ -89,7 +90,9 @@ NOTICE_UNITS = (
     r"(?iu)^\W*server (?:returned|responded with|error) \d{3}\b.{0,40}$",
     r"(?iu)^\W*(?:access denied|login required|acc[èe]s refus[ée]|acceso denegado|zugriff verweigert|permission denied)\W*$",
     r"(?iu)^\W*(?:unhandled exception|fatal(?: error)?:?\s+\w*(?:error|exception)|traceback \(most recent call last\))",
-    r"(?iu)^\W*(?:[\w.]+\.)?\w*(?:error|exception)(?:: .{0,80})? at [\w.$]+\(",
+    r"(?iu)^\W*(?:fatal\S{0,3}\s+)?(?:[\w.$]*(?:error|exception|fault)|[\w-]{2,20}-\d{2,6})(?:: .{0,80})? at [\w.$]+\(",
+    r"(?iu)^\W*fatal\S{0,3}\s+(?:[\w$]+\.[\w.$]+|[A-Z]{2,8}-\d{2,6})\b",
+    r"^\W*[A-Z]{2,8}-\d{4,6}: \S",
     r"^\W*(?:[\w.]+\.)?\w+(?:Error|Exception): \S",
     r"(?iu)^\W*(?:ocr (?:engine )?returned|conversion job \S+ (?:finished|failed|ended)|empty response from|you have been rate limited|no preview available|unsupported file format|no text (?:could be|was) extracted)\b",
     r"(?iu)^\W*(?:cette page n'existe plus|la conversion du fichier \S+ a [ée]chou[ée]|votre session a expir[ée]|le (?:service|document|site) est (?:momentan[ée]ment|temporairement) indisponible)\b.{0,40}",
@@ -105,9 +108,9 @@ NOTICE_UNITS = (
     rf"(?iu)^\W*your browser (?:is|does|has|blocks?|doesn't|isn't|set)\b.{{0,40}}{_SCRIPT}\b.{{0,40}}$",
     r"(?iu)^\W*(?:veuillez activer|activez|merci d'activer) (?:le |les )?(?:javascript|scripts?)\b.{0,60}$",
     r"(?iu)^\W*(?:javascript|les scripts?) (?:est|sont|doit|doivent)\b.{0,60}(?:bloqu|d[ée]sactiv|activ|autoris|requis).{0,40}$",
-    r"(?iu)^\W*(?:ce|cette|cet|le|la) .{0,40}(?:ne fonctionne pas sans|n[ée]cessite|requiert|a besoin de) (?:le |les )?(?:javascript|scripts?)\b.{0,40}$",
-    r"(?iu)^\W*(?:diese[rs]?|der|die|das) .{0,40}(?:ben[öo]tigt|erfordert|funktioniert nicht ohne|braucht) (?:javascript|skripte|scripts?)\b.{0,40}$",
-    r"(?iu)^\W*(?:est[ea]|el|la) .{0,40}(?:requiere|necesita|no funciona sin) (?:el |los )?(?:javascript|scripts?)\b.{0,40}$",
+    r"(?iu)^\W*(?:ce|cette|cet|le|la) .{0,40}(?:ne fonctionne pas sans|(?:ne )?fonctionne (?:qu.avec|uniquement avec)|n[ée]cessite|requiert|a besoin de) (?:le |les )?(?:javascript|scripts?)\b.{0,40}$",
+    r"(?iu)^\W*(?:diese[rs]?|der|die|das) .{0,40}(?:ben[öo]tigt|erfordert|funktioniert (?:nicht ohne|nur mit)|braucht) (?:javascript|skripte|scripts?)\b.{0,40}$",
+    r"(?iu)^\W*(?:est[ea]|el|la) .{0,40}(?:requiere|necesita|no funciona sin|s[óo]lo funciona con) (?:el |los )?(?:javascript|scripts?)\b.{0,40}$",
     r"(?iu)^\W*(?:bitte )?(?:aktivieren sie|erlauben sie) (?:bitte )?(?:javascript|skripte|scripts)\b.{0,60}$",
     r"(?iu)^\W*(?:javascript|skripte|ihr browser)\b.{0,40}(?:deaktiviert|blockiert|erforderlich|ben[öo]tigt|aktiviert werden).{0,40}$",
     r"(?iu)^\W*(?:por favor,? )?(?:active|habilite|permita|active usted) (?:el |los )?(?:javascript|scripts?)\b.{0,60}$",

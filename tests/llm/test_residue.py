@@ -21,6 +21,10 @@ FLAGGED = [
     ("The Vendor shall deliver the goods.\n\nThe requested file could not be loaded. Please try again later.", "notice"),
     ("LA CONVERSION DU FICHIER A11050 A ÉCHOUÉ.", "notice"),
     ("PLEASE ENABLE JAVASCRIPT TO CONTINUE.", "notice"),
+    ("Dieses Portal funktioniert nur mit JavaScript.", "notice"),
+    ("FATAL ORA-01555: snapshot too old", "notice"),
+    ("The registry is overloaded for about 5 minutes. Please try again later.", "notice"),
+    ("xxx xxxx xxx xxxx", "filler"),
     ("<noscript>You need scripts.</noscript>", "notice"),
 ]
 KEPT = [
