@@ -55,7 +55,7 @@ IDENTITY = re.compile(
 )
 
 _NAME = r"(?:[A-Z][\w'’.-]*|de|la|du)"
-_PLACE = r"[A-Z][\w'’-]+(?:\s+[A-Z][\w'’-]+)?"
+_PLACE = r"[A-Z][^\W\d_]+(?:['’-][^\W\d_]+)*(?:\s+[A-Z][^\W\d_]+\b)?"
 _UNIT = r"(?:(?:unit|flat|apt|apartment|suite|ste|room|rm|no)\.?\s+#?\d+[a-z]?\s{0,2},?\s{1,2}|#\s?\d+[a-z]?,?\s{1,2})"
 ADDRESS = re.compile(
     rf"(?<![\w$£€.,/-])(?:"
