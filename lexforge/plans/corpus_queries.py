@@ -9,9 +9,11 @@ from lexforge.functions import text as t
 from lexforge.operators import analytics as a
 from lexforge.operators.chunking import chunk
 from lexforge.operators.dedup import one_per_key
+from lexforge.plans import analytics_queries
 from lexforge.session import spread
 from lexforge.sources.tables import table
 from lexforge.streaming import metrics as stream
+from lexforge.streaming import shadow
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,11 +106,16 @@ def stream_queue_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return stream.upsert_stream(s, ["review_item_id"], "exported_at").groupBy("category", "review_status").agg(F.count("*").alias("items"))
 
 
+def stream_shadow_grades(spark: SparkSession, folder: str) -> DataFrame:
+    """Citation checks of the review items, graded as they stream in."""
+    return stream.run_to_table(shadow.shadow_grades(stream.read_table(spark, folder, "review_queue")), mode="append")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         child_chunks_of_documents, chunk_totals, chunk_content_ids, vector_point_ids, chunk_validation, payload_dates, document_date_mentions, legal_reference_counts, sentence_statistics, plain_text_lengths,
-        dedup_first_seen, dedup_last_write, stream_family_windows, stream_queue_upsert,
+        dedup_first_seen, dedup_last_write, stream_family_windows, stream_queue_upsert, stream_shadow_grades,
     )
 }
 
@@ -132,4 +139,5 @@ SQL = {
     "dedup_last_write": "SELECT review_status, count(*) AS items FROM (SELECT * FROM review_queue QUALIFY row_number() OVER (PARTITION BY review_item_id ORDER BY exported_at DESC, review_status DESC) = 1) GROUP BY 1",
     "stream_family_windows": "WITH r AS (SELECT DISTINCT ON (request_id) * FROM request_metrics ORDER BY request_id, received_at) SELECT (recorded_at AT TIME ZONE 'UTC')::DATE AS day, coalesce(nullif(legal_family, ''), 'unknown') AS family, count(*) AS requests, sum(coalesce(insufficient_answer, 0))::BIGINT AS insufficient, sum(coalesce(total_tokens, 0))::BIGINT AS total_tokens FROM r GROUP BY 1, 2",
     "stream_queue_upsert": _QUEUE,
+    "stream_shadow_grades": analytics_queries.SQL["citation_checks"],
 }

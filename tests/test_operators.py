@@ -136,3 +136,20 @@ def test_stream_drops_repeats(spark, small):
     s = stream.family_windows(stream.read_table(spark, small, "request_metrics"), lateness="3650 days")
     total = stream.run_to_table(s).selectExpr("sum(requests)").first()[0]
     assert total == spark.read.parquet(f"{small}/request_metrics.parquet").select("request_id").distinct().count()
+
+
+def test_state_of_conversations(spark, tmp_path):
+    from lexforge.streaming.shadow import last_values
+
+    schema = "trace string, at timestamp, family string"
+    spark.createDataFrame([("a", "2025-01-01 00:00:01", "x"), ("a", "2025-01-01 00:00:02", None), ("b", "2025-01-01 00:00:01", ""), (None, "2025-01-01 00:00:01", "n")], "trace string, at string, family string").selectExpr("trace", "CAST(at AS timestamp) AS at", "family").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("a", "2025-01-01 00:00:03", "y"), ("b", "2025-01-01 00:00:02", "z")], "trace string, at string, family string").selectExpr("trace", "CAST(at AS timestamp) AS at", "family").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = {}
+
+    def keep(batch, _):
+        seen.update({r.key: (r.turns, r.last_value) for r in batch.collect()})
+
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = last_values(rows, "trace", "at", "family").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    assert seen == {"a": (3, "y"), "b": (2, "z")}
