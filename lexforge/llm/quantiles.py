@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 MANTISSA_BITS = 14
 #: Enough for every value of a signed 64-bit integer under that rule.
 UNIVERSE_BITS = 20
-#: Larger keeps more nodes (at most 3 * compression a digest) and a smaller rank error.
-COMPRESSION = 10_000
+#: The bucket of the largest value, 2**62 - 1; the universe has some room above it.
+TOP_BUCKET = ((1 << MANTISSA_BITS) - 1) + (62 - MANTISSA_BITS) * (1 << (MANTISSA_BITS - 1))
+#: Larger keeps more nodes (at most 3 * compression a digest) and a smaller rank error; this one bounds it by 0.02 % of n, so that even the
+#: 99.9th percentile is told from the maximum.
+COMPRESSION = 100_000
 
 
 def bucket(units: Column) -> Column:
@@ -36,8 +39,9 @@ def bucket(units: Column) -> Column:
 
 
 def bucket_low(index: Column) -> Column:
-    """The smallest number of units in a bucket."""
+    """The smallest number of units in a bucket; a node that reaches above the top bucket counts as it."""
     half = 1 << (MANTISSA_BITS - 1)
+    index = F.least(index, F.lit(TOP_BUCKET))
     shift = F.greatest(F.floor(index / half).cast("int") - 1, F.lit(0))
     return F.call_function("shiftleft", (index - shift * half).cast("bigint"), shift)
 
