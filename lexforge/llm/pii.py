@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.pii_seeds import SEEDS
-from lexforge.llm.pii_words import COMMON, FILE_WORDS, GIVEN, ID_WORDS, ORGANISATION, PARTICLES, PHONE_WORDS, STREETS, SURNAME_ENDINGS, TITLES
+from lexforge.llm.pii_words import (
+    ARTICLES, COMMON, FAMILY, FILE_WORDS, GIVEN, ID_WORDS, MORE_GIVEN, ORDINARY, ORDINARY_ENDINGS, ORGANISATION, PARTICLES, PERSON_LEFT, PERSON_RIGHT, PHONE_WORDS, PLACE_LEFT, STREETS, SURNAME_ENDINGS, TITLES,
+)
 
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 
@@ -69,6 +71,8 @@ ADDRESS = re.compile(
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*(?:-[^\W\d_]+(?:['’][^\W\d_]+)*)*")
 _ENDS = tuple(SURNAME_ENDINGS)
+_ORDINARY = tuple(ORDINARY_ENDINGS)
+_DIGIT = re.compile(r"\d")
 _ID_LEFT, _PHONE_LEFT, _FILE_LEFT = (re.compile(rf"\b{w}\b[^\w]{{0,4}}(?:(?:number|no|nr|id|is|was|of|from|at)\b[^\w]{{0,4}}){{0,2}}$", re.IGNORECASE) for w in (ID_WORDS, PHONE_WORDS, FILE_WORDS))
 _ANY_ID = re.compile(rf"\b{ID_WORDS}\b[^.;\n]{{0,25}}$", re.IGNORECASE)
 _ANY_PHONE = re.compile(rf"\b{PHONE_WORDS}\b[^;\n]{{0,25}}$", re.IGNORECASE)
@@ -95,7 +99,7 @@ def _numbers(text: str) -> Iterator[Segment]:
         s = m.group()
         last = re.split(r"[.\s\])}>]+", s.rstrip(".] )}>"))[-1]
         yield m.start(), m.start() + len(s.rstrip()), "email", tuple(["bias", "at_sign" if "@" in s else "spelled_at", "letters_end" if last.isalpha() and len(last) > 1 else "odd_end"] + (["broken"] if re.search(r"@\s|\s@", s) else []))
-    if not any(c.isdigit() for c in text):
+    if not _DIGIT.search(text):
         return
     for m in NUMBER.finditer(text):
         s = m.group()
@@ -125,8 +129,92 @@ def _surname(word: str) -> bool:
     return word.lower().split("-")[-1].endswith(_ENDS)
 
 
-def _names(text: str) -> Iterator[Segment]:
-    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+@lru_cache(maxsize=1 << 16)
+def _traits(word: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a word is capitalised, a listed given name, a listed family name or one with a family ending, and an ordinary word."""
+    low = word.lower()
+    given, family = low.split("-")[0] in GIVEN or low.split("-")[0] in MORE_GIVEN, low in FAMILY or _surname(word)
+    ordinary = low in COMMON or low in ORGANISATION or low in TITLES or low in ORDINARY or (len(low) > 5 and low.endswith(_ORDINARY) and not given and low not in FAMILY)
+    return word[0].isupper(), given, family, ordinary
+
+
+#: The most words of a run that is a candidate by itself.
+RUN = 4
+
+
+def _runs(text: str, words: list[tuple[int, int, str]]) -> Iterator[Segment]:
+    """Every run of 2 to RUN neighbouring words as a person's name, in any case pattern; lists, shape and context are features.
+
+    Runs that aren't all capitalised and hold no listed name have the features of a `PLAIN_RUNS` alone, and so one score. They are left out:
+    `trained` makes sure that this score can't enter the best set.
+    """
+    n = len(words)
+    traits = [_traits(w[2]) for w in words]
+    marked = {k for k, t in enumerate(traits) if t[1] or t[2]}
+    starts = marked.union(*((k - 1, k - 2, k - 3) for k in marked), (k for k, t in enumerate(traits) if t[0]))
+
+    def near(i: int) -> bool:
+        """Word i + 1 stands beside word i on the same line."""
+        if not 0 <= i < n - 1:
+            return False
+        a, b = words[i][1], words[i + 1][0]
+        return text[a:b] == " " or (0 < b - a <= 4 and not (g := text[a:b]).strip() and "\n" not in g)
+
+    for i in sorted(starts):
+        if not near(i):
+            continue
+        cap, listed, ordinary = traits[i][0], traits[i][1] or traits[i][2], traits[i][3]
+        lower = not cap
+        for j in range(i + 1, min(n, i + RUN)):
+            if not near(j - 1):
+                break
+            t = traits[j]
+            particle = words[j][2] in PARTICLES
+            cap, lower = cap and (t[0] or particle), lower and not t[0]
+            listed, ordinary = listed or t[1] or t[2], ordinary or t[3]
+            if particle or not (cap or listed):
+                continue
+            given, family = traits[i][1], t[2]
+            f = ["run", "run_cap" if cap else "run_lower" if lower else "run_mixed", f"run_words={j - i + 1}"]
+            f.append("run_given_family" if given and family else "run_given" if given else "run_family" if family else "run_unlisted")
+            if ordinary:
+                f.append("run_ordinary")
+            before = words[i - 1][2].lower() if i else ""
+            gap = text[words[i - 1][1] if i else 0 : words[i][0]]
+            joined = i > 0 and not gap.strip() and "\n" not in gap
+            if joined and traits[i - 1][0] and not traits[i - 1][3]:
+                f.append("run_left_cap")
+            elif joined or (i and gap.strip() in (":", ",", "(")):
+                f.append("run_left_person" if before in PERSON_LEFT else "run_left_place" if before in PLACE_LEFT else "run_left_article" if before in ARTICLES else "run_left_other")
+            else:
+                f.append("run_left_start")
+            follows = near(j)
+            if follows and traits[j + 1][0]:
+                f.append("run_right_cap_ordinary" if traits[j + 1][3] else "run_right_cap")
+                if words[j + 1][2].lower() in ORGANISATION:
+                    f.append("organisation_right")
+            elif follows and words[j + 1][2] in PERSON_RIGHT:
+                f.append("run_right_person")
+            else:
+                f.append("run_right_other")
+            right = text[words[j][1] : words[j][1] + 5]
+            if "&" in right or (" v" in right and re.match(r"\s+v\.?s?\.?\s", right)) or text[max(0, words[i][0] - 3) : words[i][0]].rstrip().endswith("&") or before in ("v", "vs"):
+                f.append("connector")
+            yield words[i][0], words[j][1], "person_name", tuple(f)
+
+
+#: All features of runs that aren't all capitalised and hold no listed name: context tells nothing of them.
+PLAIN_RUNS = (("run", "run_lower", "run_unlisted"), ("run", "run_mixed", "run_unlisted"))
+
+
+@lru_cache(maxsize=1 << 16)
+def _opens(word: str) -> bool:
+    """Whether one of the forms of `_names` can begin at a word."""
+    low = word.lower()
+    return len(word) == 1 or low.split("-")[0] in GIVEN or low in TITLES or (word[0].isupper() and _surname(word))
+
+
+def _names(text: str, words: list[tuple[int, int, str]]) -> Iterator[Segment]:
     n = len(words)
 
     def gap(i: int, j: int) -> str:
@@ -175,6 +263,8 @@ def _names(text: str) -> Iterator[Segment]:
 
     for i in range(n):
         word = words[i][2]
+        if not _opens(word):
+            continue
         low = word.lower()
         base = low.split("-")[0]
         if base in GIVEN:
@@ -220,7 +310,8 @@ def _names(text: str) -> Iterator[Segment]:
 
 def segments(text: str) -> list[Segment]:
     """All candidates of a text, by end."""
-    found = {(s, e, t): f for s, e, t, f in (*_numbers(text), *_names(text)) if e - s <= LONGEST[t]}
+    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+    found = {(s, e, t): f for s, e, t, f in (*_runs(text, words), *_numbers(text), *_names(text, words)) if e - s <= LONGEST[t]}
     return sorted(((s, e, t, f) for (s, e, t), f in found.items()), key=lambda x: (x[1], x[0], x[2]))
 
 
@@ -317,8 +408,8 @@ def trained(rounds: int = 150, rate: float = 0.6, ridge: float = 0.01) -> tuple[
     for marked in SEEDS:
         text, gold = unmark(marked)
         found = segments(text)
-        # a candidate is right if it begins where the detail does; of several, the longest
-        at = {(start, kind): max((s for s in found if (s[0], s[2]) == (start, kind)), key=lambda s: s[1], default=None) for start, _, kind in gold}
+        # a candidate is right if it begins where the detail does; of several, the one that ends there too, else the longest
+        at = {(start, kind): max((s for s in found if (s[0], s[2]) == (start, kind)), key=lambda s: (s[1] == end, s[1]), default=None) for start, end, kind in gold}
         true = [s for s in found if at.get((s[0], s[2])) is s]
         data.append((found, true))
     weights: dict[str, float] = {}
@@ -340,6 +431,9 @@ def trained(rounds: int = 150, rate: float = 0.6, ridge: float = 0.01) -> tuple[
             g -= ridge * weights.get(name, 0.0)
             grown[name] = grown.get(name, 0.0) + g * g
             weights[name] = weights.get(name, 0.0) + rate * g / math.sqrt(grown[name] + 1e-8)
+    links = sum(max([0.0, *(w for n, w in weights.items() if ">" in n and n.split(">")[side] == "person_name")]) for side in (0, 1))
+    if max(sum(weights.get(f"person_name:{f}", 0.0) for f in plain) for plain in PLAIN_RUNS) + links > 0:
+        raise ValueError("a run of plain words could be a name: _runs must propose them all")
     return tuple(sorted(weights.items()))
 
 

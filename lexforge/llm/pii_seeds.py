@@ -146,4 +146,44 @@ SEEDS = (
     "paid to Westlake Software S.A. The buyer left. Vitamin K. Deficiency is rare.",
     "Justice must be seen to be done. Me too.",
     "Dear Sir, Dear Madam",
+    # full names by shape and context, listed or not, and other capitalised runs
+    "The note was written by [[person_name:Nancy Brown]] in June.",
+    "[[person_name:Kofi Mensah]] signed the lease.",
+    "We asked [[person_name:Gordon Okafor]] about the keys.",
+    "Counsel [[person_name:Tamsin Rudge]] appeared for the Vendor.",
+    "The letter was sent by [[person_name:Bryn Tolliver]] on March 3.",
+    "[[person_name:Lwazi Dube]] testified that the door was open.",
+    "[[person_name:Heather Simmons]] and [[person_name:Nigel Foster]] agreed.",
+    "Dear [[person_name:Oona Gallagher]], the file is closed.",
+    "A colleague named [[person_name:Ravi Subramani]] took the call.",
+    "The manager, [[person_name:Wanda Plisk]], said nothing.",
+    "The witness [[person_name:Thabo Maseko]] left early.",
+    "My name is [[person_name:Megan Price]] and I work here.",
+    "what did [[person_name:rebecca walker]] say about rent",
+    "Is [[person_name:Douglas Murray]] still employed?",
+    "Signed by [[person_name:Priscilla Dunmore]].",
+    "[[person_name:JENNIFER CLARK]] wrote to the Board.",
+    "The room was let to [[person_name:Patrick Kelly]] for a year.",
+    "The claim of [[person_name:Timothy Reynolds]] was heard in Mirefield Bay.",
+    "Contact [[person_name:Svea Bruun]] for the key.",
+    "[[person_name:Aoife Brannigan]] told the clerk that it rained.",
+    "They met with [[person_name:Chioma Nnadi]] twice.",
+    "The Receiving Party shall tell the Disclosing Party at once.",
+    "Reporting Duties and Data Handling apply in Stonegate Falls.",
+    "Under Governing Law, Dispute Resolution takes place in Kell Harbour.",
+    "Juniper Wharf Holdings LLC and Copperdale Lane Marine paid.",
+    "Westbrook Clinics Society hired Ironfield Software for Amberton Quay.",
+    "Intellectual Property stays with the Licensor. Security Deposit: none.",
+    "Despite Article 4, the Tenant lives near Mirefield Bay.",
+    "Does Oskenby Tenancies Act apply? Does Section 3?",
+    "The Brennerby rules hold in Pell Corwen and Stonegate Falls.",
+    "Was CAD 400 paid in Upper Mirefield? Before March 3 it was.",
+    "Glasshill Foods Co-operative, Northfield Marine, and Tarnby Capital Corp met.",
+    "Procedural History. Witness Evidence. Policy Scope. Part VII.",
+    "The parties met at Pell Corwen. Pell Corwen lies on the coast.",
+    "Stonegate Falls has a court. The Oskenby Report came out.",
+    "Force Majeure and Due Diligence are dealt with in Annex C.",
+    "for Westerby Marine and Fennfield Software, the Supplier",
+    "the green hill and the young king walk to the white bridge",
+    "will smith the clerk mark the long price of wood",
 )

@@ -80,3 +80,21 @@ def test_queries(spark, small):
     assert len(rows) == len(set(rows)) > 0
     masked = queries.p2_masked(spark, small)
     assert masked.filter(masked.text.contains("[EMAIL]")).count() > 0
+
+
+#: Names of which neither word is in GIVEN or has one of SURNAME_ENDINGS, without a title.
+UNLISTED = ["Nancy Brown", "Kofi Mensah", "Rhys Pritchard", "Mandla Zulu", "Wiremu Tane", "Ling Zhao", "Saoirse Flynn", "Ulf Dahl"]
+
+
+@pytest.mark.parametrize("name", UNLISTED)
+def test_names_outside_the_lists(name):
+    for frame in ("The report was written by {}.", "{} signed the lease on May 2.", "Tenant: {}", "the file of {} is closed"):
+        text = frame.format(name)
+        at = text.index(name)
+        assert (at, at + len(name), "person_name") in {s[:3] for s in pii.segments(text)}
+        assert frame.startswith("the file") or (at, at + len(name), "person_name") in pii.best(text, WEIGHTS)
+
+
+def test_other_capitalised_runs_are_no_names():
+    for text in ("The Receiving Party met the Supplier in Mirador Bay.", "Data Handling and Closing Deliverables", "Juniper Quay Holdings LLC paid Copperfield Lane Marine."):
+        assert starts(text) == set()
