@@ -1,9 +1,9 @@
 """Template residue, filler, error pages and script notices in place of content.
 
 Everything is Column expressions: the text is cleaned once, split into units (lines and sentences), and held against detectors. A text with
-strong evidence is flagged by itself. A short text with only weak evidence is flagged by combined evidence: its body shares no term with its
-slug (document type, jurisdiction) or lacks a title, and the same masked body comes from several hosts (sources or matters). Only such short
-texts enter a shuffle.
+strong evidence is flagged by itself. Every other text is scored, whatever its length: whether its body shares no term with its slug (document
+type, jurisdiction), whether it shares none with its title or has no title, how few distinct words it has, whether it has a weak word, and
+which share of its masked units comes from several hosts (sources or matters). Unit counts are pre-aggregated in the map tasks.
 """
 
 from __future__ import annotations
@@ -128,8 +128,14 @@ RAW_NOTICES = (
 #: Words that alone prove nothing, but count together with combined evidence.
 WEAK = r"(?iu)\b(?:error|unavailable|not found|denied|expired|forbidden|javascript|browser|cookies?|scripts?|reload|refresh|sign in|log ?in|timed? ?out|maintenance|placeholder|lorem|sample|dummy|template|coming soon|under construction|no content|exception|server|introuvable|indisponible|fehler|erreur|no disponible)\b"
 
-#: A text of at most so many words is short.
-SHORT_WORDS = 40
+#: A text of up to so many distinct words counts as one of low information in full, a richer one in proportion less.
+PLAIN_WORDS = 40
+
+#: The score from which combined evidence flags a text: one each for slug, title, low information and a weak word, up to COPIED for copies.
+COMBINED, COPIED = 5.0, 2.0
+
+#: So many copies of a text's rarest unit count in full, fewer by their logarithm.
+MANY = 8
 
 
 def cleaned(text: Column) -> Column:
@@ -157,7 +163,8 @@ def _monotone(unit: Column) -> Column:
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """doc_id with the kind of strong evidence (template, filler, notice, or null) and, for short weak texts, their masked body's fingerprint.
+    """One row per document: doc_id, host, matter_id, kind of strong evidence (template, filler, notice, or null), score of the combined
+    evidence but for copies, copy (the text's hash), and its distinct masked units.
 
     Null and blank texts have neither. Quoted mentions are removed first, so a text that only mentions such things isn't flagged.
     """
@@ -165,8 +172,8 @@ def evidence(documents: DataFrame) -> DataFrame:
     d = d.withColumn("_q", F.regexp_replace("_t", r"\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|„[^“\n]{1,120}“", " "))
     lines = F.regexp_replace("_q", r"</?(?i:html|head|body|title|h[1-6]|p|div|br|span|noscript)[^<>]{0,80}>", "\n")
     d = d.withColumn("_all", F.split(lines, r"\n+|(?<=[.!?])\s+"))
-    # a unit of over 200 characters can't be a notice; the patterns are anchored, so one that doesn't fit fails at its first words
-    d = d.withColumn("_u", F.filter("_all", lambda u: (F.length(u) > 2) & (F.length(u) <= 200)))
+    # the patterns are anchored, so a unit that doesn't fit fails at its first words
+    d = d.withColumn("_u", F.filter("_all", lambda u: F.length(u) > 2))
     d = d.withColumn("_l", F.lower("_q"))
     latin = F.lit(False)
     for cue in LATIN_CUES:
@@ -177,29 +184,39 @@ def evidence(documents: DataFrame) -> DataFrame:
         .when(_any(F.col("_t"), RAW_NOTICES) | F.exists("_u", lambda u: _any(u, NOTICE_UNITS)), "notice")
     )
     d = d.withColumn("kind", kind)
-    words = F.regexp_count("_q", F.lit(r"[\p{L}\p{N}]+"))
-    slug = F.filter(F.split(F.lower(F.concat_ws(" ", "document_type", "jurisdiction")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
-    title = F.regexp_extract("_t", r"(?m)^#{1,6} +(\S.*)$", 1)
-    body = F.col("_l")
-    mismatch = (title == "") & ~F.exists(slug, lambda w: F.contains(body, w))
-    mask = F.regexp_replace(F.regexp_replace(body, r"\p{L}{0,2}\p{N}+", "0"), r"[^\p{L}0]+", " ")
-    weak = F.col("kind").isNull() & (words <= SHORT_WORDS) & mismatch & F.col("_q").rlike(WEAK)
-    return d.select("doc_id", F.lower(F.trim("source")).alias("host"), "matter_id", "kind", F.when(weak, F.xxhash64(mask)).alias("fingerprint"))
+    terms = lambda text: F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
+    slug = terms(F.concat_ws(" ", "document_type", "jurisdiction"))
+    title = terms(F.regexp_extract("_t", r"(?m)^#{1,6} +(\S.*)$", 1))
+    body = F.regexp_replace("_l", r"(?m)^#{1,6} .*$", " ")
+    missed = lambda words: (~F.exists(words, lambda w: F.contains(body, w))).cast("double")
+    masked = lambda u: F.trim(F.regexp_replace(F.regexp_replace(F.lower(u), r"\p{L}{0,2}\p{N}+", "0"), r"[^\p{L}0]+", " "))
+    plain = F.filter(F.transform(F.filter("_all", lambda u: ~F.startswith(u, F.lit("#"))), masked), lambda u: u != "")
+    units = F.array_distinct(F.transform(plain, lambda u: F.struct(F.xxhash64(u).alias("unit"))))
+    distinct = F.greatest(F.size(F.array_distinct(F.split(masked(body), " "))), F.lit(1))
+    score = missed(slug) + missed(title) + F.least(F.lit(1.0), PLAIN_WORDS / distinct) + F.col("_q").rlike(WEAK).cast("double")
+    return d.select("doc_id", F.lower(F.trim("source")).alias("host"), "matter_id", "kind", score.alias("score"), F.xxhash64("text").alias("copy"), units.alias("units"))
 
 
 def flagged(documents: DataFrame, copies: int = 3) -> DataFrame:
     """doc_id and kind of each document that is no real content.
 
-    kind `duplicate` marks short weak texts whose masked body occurs at least `copies` times, from at least two hosts or matters.
+    kind `duplicate` marks texts by combined evidence. A unit counts as copied if its masked form is in at least `copies` documents, from at
+    least two hosts or matters.
     """
     # an explode, not a filter: a filter would be pushed below and repeat the text work for each detector
-    has = F.explode(F.filter(F.array(F.struct("kind", "fingerprint")), lambda e: e.kind.isNotNull() | e.fingerprint.isNotNull()))
-    found = cut(evidence(documents).select("doc_id", "host", "matter_id", has.alias("e")).select("doc_id", "host", "matter_id", "e.*"), "residue")
-    weak = found.filter("kind IS NULL")
-    hosts = weak.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("host").alias("h0"), F.max("host").alias("h1"), F.min("matter_id").alias("m0"), F.max("matter_id").alias("m1"))
-    repeated = hosts.filter((F.col("n") >= copies) & ((F.col("h0") != F.col("h1")) | (F.col("m0") != F.col("m1")))).select("fingerprint")
-    by_copies = weak.join(repeated, "fingerprint", "left_semi").select("doc_id", F.lit("duplicate").alias("kind"))
-    return found.filter("kind IS NOT NULL").select("doc_id", "kind").union(by_copies)
+    none = lambda kind: F.lit(None).cast(kind)
+    strong = F.array(F.struct("kind", none("double").alias("score"), none("bigint").alias("copy"), none("bigint").alias("unit")))
+    each = F.transform("units", lambda u: F.struct(none("string").alias("kind"), F.col("score").alias("score"), F.col("copy").alias("copy"), u.unit.alias("unit")))
+    e = F.explode(F.when(F.col("kind").isNotNull(), strong).otherwise(each))
+    found = cut(evidence(documents).select("doc_id", "host", "matter_id", e.alias("e")).select("doc_id", "host", "matter_id", "e.*"), "residue")
+    units = found.filter("kind IS NULL")
+    hosts = units.groupBy("unit").agg(F.count("*").alias("n"), F.min("host").alias("h0"), F.max("host").alias("h1"), F.min("matter_id").alias("m0"), F.max("matter_id").alias("m1"))
+    repeated = hosts.filter((F.col("n") >= copies) & ((F.col("h0") != F.col("h1")) | (F.col("m0") != F.col("m1")))).select("unit", F.least(F.lit(1.0), F.log2("n") / F.log2(F.lit(float(MANY)))).alias("copied"))
+    # copies add COPIED at most, so other texts can't reach the score
+    open_ = units.filter(F.col("score") >= COMBINED - COPIED).join(repeated, "unit", "left")
+    rarest = open_.groupBy("doc_id", "copy", "score").agg(F.min(F.coalesce("copied", F.lit(0.0))).alias("copied"))
+    by_copies = rarest.filter((F.col("copied") > 0) & (F.col("score") + COPIED * F.col("copied") >= COMBINED))
+    return found.filter("kind IS NOT NULL").select("doc_id", "kind").union(by_copies.select("doc_id", F.lit("duplicate").alias("kind")))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

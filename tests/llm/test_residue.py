@@ -78,3 +78,16 @@ def test_long_text_and_empty_table(spark):
 @pytest.mark.parametrize("name", ["p8_found", "p8_clean", "p8_reasons"])
 def test_queries_run(spark, small, name):
     assert queries.QUERIES[name](spark, small).count() > 0
+
+
+def test_combined_evidence_of_long_and_titled_texts(spark):
+    """No length, title or weak word decides alone."""
+    long = " ".join(f"The server told {a} of {b}." for a, b in zip("amber birch cedar dune elm fern gorse heath iris juniper kelp".split(), "one two three four five six seven eight nine ten eleven".split()))
+    titled = "# Quarterly accounts\n\nNothing to show: server said 17"
+    foreign = "Rien ne se trouve ici pour le moment 17"
+    for text in (long, titled, foreign):
+        many = docs(spark, [text, text.replace("17", "99")] * 4).unionByName(docs(spark, [text], source="b").selectExpr("doc_id + 10 AS doc_id", "text", "source", "matter_id", "document_type", "jurisdiction", "kind"))
+        assert sorted((r.doc_id, r.kind) for r in residue.flagged(many).collect()) == [(i, "duplicate") for i in (*range(8), 10)], text
+    about = "# Letter of thanks\n\nThe letter gives thanks for the work."
+    many = docs(spark, [about] * 8).unionByName(docs(spark, [about], source="b"))
+    assert residue.flagged(many).count() == 0
