@@ -84,15 +84,39 @@ def walk(column: str, text: str | None, lists: frozenset[str]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def _scalars(value: dict) -> str:
-    """The object's own members that are not containers, as JSON."""
-    return json.dumps({k: v for k, v in value.items() if not isinstance(v, (dict, list))}, ensure_ascii=False, separators=(",", ":"))
+def _own(value: dict, lists: frozenset[str]) -> str:
+    """All of an object but the listed objects in it, which have rows of their own, as JSON.
+
+    Scalars, lone objects and lists of scalars are kept; a list of listed objects alone is left out, and in a mixed list they are null.
+    """
+    top: dict = {}
+    stack: list[tuple] = [(value, top)]
+    while stack:
+        source, target = stack.pop()
+        if isinstance(source, dict):
+            for k, v in source.items():
+                if isinstance(v, dict):
+                    if k not in lists:
+                        target[k] = {}
+                        stack.append((v, target[k]))
+                elif isinstance(v, list):
+                    if not v or not all(isinstance(m, dict) for m in v):
+                        target[k] = []
+                        stack.append((v, target[k]))
+                else:
+                    target[k] = v
+        else:
+            for m in source:
+                target.append([] if isinstance(m, list) else None if isinstance(m, dict) else m)
+                if isinstance(m, list):
+                    stack.append((m, target[-1]))
+    return json.dumps(top, ensure_ascii=False, separators=(",", ":"))
 
 
 def label_nodes(records: DataFrame, table_name: str, root_key: str, column: str, *, bodies: bool = True, list_members: Sequence[str] = LIST_MEMBERS) -> DataFrame:
     """One labelled row per listed object in `records[column]` (JSON text, or an array / struct column).
 
-    Columns: NODE_SCHEMA; `body` holds the object's scalar members as JSON (null when bodies=False). Records must be one per key. Null keys
+    Columns: NODE_SCHEMA; `body` holds all of the object but the listed objects in it, as JSON (null when bodies=False). Records must be one per key. Null keys
     are kept as null. Columns of `records` other than the two named are ignored, so clashing names do no harm.
     """
     lists = frozenset(list_members)
@@ -107,7 +131,7 @@ def label_nodes(records: DataFrame, table_name: str, root_key: str, column: str,
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for kind, path, position, depth, pre, post, value in walk(column, text, lists):
-                    rows.append((table_name, key, kind, path, position, depth, pre, post, _scalars(value) if bodies else None))
+                    rows.append((table_name, key, kind, path, position, depth, pre, post, _own(value, lists) if bodies else None))
                 if len(rows) >= 20_000:
                     yield _batch(rows, names, types)
                     rows = []
@@ -138,11 +162,10 @@ def link_by_containment(nodes: DataFrame) -> DataFrame:
 
 
 def flat_table(linked: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
-    """The flat table of one kind of object: keys of the record and of the holder, then `fields` (name -> type) read from its scalar members.
-
-    A member that is missing, null or not of the type is null.
+    """The flat table of one kind of object: keys of the record and of the holder, then `fields` (name -> type) read from its members,
+    and `members`, all of the object but the listed objects in it, as JSON. A member that is missing, null or not of the type is null.
     """
     body = F.col("_b")
     typed = linked.filter(F.col("kind") == kind).withColumn("_b", F.try_parse_json("body"))
     keys = ["table_name", "root_key", "node_path", "position", "pre", "post", "parent_kind", "parent_path"]
-    return typed.select(*keys, *[F.try_variant_get(body, f"$.{name}", as_type).alias(name) for name, as_type in fields.items()])
+    return typed.select(*keys, *[F.try_variant_get(body, f"$.{name}", as_type).alias(name) for name, as_type in fields.items()], F.col("body").alias("members"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexforge.operators import drift, nested
 from lexforge.operators.dedup import one_per_key
@@ -40,6 +41,11 @@ def _p1_flat(kind: str):
     return lambda spark, folder: nested.flat_table(nested.link_by_containment(_nodes(spark, folder, bodies=True)), kind, P1_TABLES[kind])
 
 
+def p1_other(spark: SparkSession, folder: str) -> DataFrame:
+    """Listed objects of a kind without a table of its own."""
+    return nested.link_by_containment(_nodes(spark, folder, bodies=True)).filter(~F.col("kind").isin(*P1_TABLES))
+
+
 def _carried(spark: SparkSession, folder: str) -> DataFrame:
     """The catalogue (a few rows per file), written once: several windows read it."""
     return cut(drift.catalogue(table(spark, folder, "raw_records")), "p3-catalogue")
@@ -61,6 +67,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_nodes": p1_nodes,
     **{f"p1_{kind}": _p1_flat(kind) for kind in P1_TABLES},
+    "p1_other": p1_other,
     "p3_found": p3_found,
     "p3_lifespans": p3_lifespans,
     "p3_table": p3_table,

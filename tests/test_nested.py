@@ -109,3 +109,11 @@ def test_repeated_keys_count_once(spark):
     assert sorted(map(tuple, one_per_key(d, ["k"], ["t"], ["v"]).collect()), key=str) == [("a", "x"), ("b", "z"), (None, "m")]
     assert one_per_key(d.limit(0), ["k"], ["t"], ["v"]).count() == 0
     assert {r.v for r in one_per_key(d, ["k"], ["t"], ["v"], latest=True).filter(F.col("k") == "a").collect()} == {"y"}
+
+
+def test_flat_table_keeps_all_members(spark):
+    texts = ['[{"case_id": "a", "system_result": {"grounded": true, "deep": {"x": [1, 2], "warnings": [{"code": "w"}]}}, "ids": ["p", "q"], "mixed": [1, {"b": 2}], "spans": [{"outputs_summary": {"n": 3}}]}]']
+    linked = nested.link_by_containment(nested.label_nodes(make(spark, texts), "t", "k", "cases"))
+    rows = {k: [json.loads(r.members) for r in nested.flat_table(linked, k, {}).collect()] for k in ("cases", "spans", "warnings", "mixed")}
+    assert rows["cases"] == [{"case_id": "a", "system_result": {"grounded": True, "deep": {"x": [1, 2]}}, "ids": ["p", "q"], "mixed": [1, None]}]
+    assert (rows["spans"], rows["warnings"], rows["mixed"]) == ([{"outputs_summary": {"n": 3}}], [{"code": "w"}], [{"b": 2}])
