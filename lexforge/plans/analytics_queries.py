@@ -165,7 +165,8 @@ def embedding_hit_at_k(spark: SparkSession, folder: str) -> DataFrame:
     """Dense search graded by label: gold are the other vectors of the query's label."""
     v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     queries = v.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector", "label")
-    hits = cut(retrieval.cosine(v, queries.select("query_id", "vector"), 11).filter("query_id <> id"), "hits")
+    others = retrieval.cosine(v, queries.select("query_id", "vector"), 11).filter("query_id <> id").drop("rank")
+    hits = cut(retrieval.top_k(others, 10, [F.desc("score"), F.asc("id")]), "hits")  # ranked again without the query's own vector
     gold = queries.select("query_id", "label").join(v.select("id", "label"), "label").filter("query_id <> id").select("query_id", "id")
     return grading.hit_at_k(hits, gold)
 
