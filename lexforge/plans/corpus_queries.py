@@ -76,7 +76,7 @@ def legal_reference_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentence_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    s = _documents(spark, folder).filter("lang = 'en'").select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s"))
+    s = _documents(spark, folder).select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s"))
     return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("s")).alias("longest"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexforge.plans import analytics_queries
+from lexforge.plans import analytics_queries, corpus_queries
 
 
 def test_own_vector_takes_no_rank(spark, tmp_path):
@@ -10,3 +10,9 @@ def test_own_vector_takes_no_rank(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.query_id: (r.best_rank, r.hit_at_1) for r in analytics_queries.embedding_hit_at_k(spark, str(tmp_path)).collect()}
     assert got == {100: (1, 1), 200: (1, 1)}
+
+
+def test_sentences_of_every_language(spark, small):
+    texts = spark.read.parquet(f"{small}/documents.parquet")
+    want = {r.doc_id for r in texts.filter(F.col("text").rlike(r"\S")).select("doc_id").collect()}
+    assert {r.doc_id for r in corpus_queries.sentence_statistics(spark, small).collect()} == want
