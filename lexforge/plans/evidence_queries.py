@@ -56,7 +56,9 @@ def review_items_with_case(spark: SparkSession, folder: str) -> DataFrame:
     items = one_per_key(table(spark, folder, "review_queue"), ["review_item_id"], ["exported_at"], ["source_id", "run_id", "query", "family"])
     items = items.select(F.col("review_item_id").alias("item_id"), F.expr("substring(source_id, length(run_id) + 2)").alias("case_id"), "query", a.or_unknown(F.col("family")).alias("family"))
     runs = one_per_key(table(spark, folder, "trace_runs"), ["source_path"], ["loaded_at"], ["cases"])
-    v = runs.select(a.parsed(F.col("cases")).alias("v")).filter(F.schema_of_variant("v").startswith("ARRAY")).select(F.explode(F.col("v").cast("array<variant>")).alias("c")).filter(F.schema_of_variant("c").startswith("OBJECT"))
+    form = F.schema_of_variant("v")
+    listed = F.when(form.startswith("ARRAY"), F.col("v").cast("array<variant>")).when(form.startswith("OBJECT"), F.array("v"))  # a lone object is position 0
+    v = runs.select(a.parsed(F.col("cases")).alias("v")).select(F.explode(listed).alias("c")).filter(F.schema_of_variant("c").startswith("OBJECT"))
     cases = v.select(*[F.try_variant_get("c", f"$.{n}", "string").alias(n) for n in ("case_id", "query")], a.or_unknown(F.try_variant_get("c", "$.family", "string")).alias("family"))
     return e.existing(items, cases)
 

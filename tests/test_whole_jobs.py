@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexforge.plans import analytics_queries, corpus_queries
+from lexforge.plans import analytics_queries, corpus_queries, evidence_queries
 
 
 def test_own_vector_takes_no_rank(spark, tmp_path):
@@ -16,3 +16,12 @@ def test_sentences_of_every_language(spark, small):
     texts = spark.read.parquet(f"{small}/documents.parquet")
     want = {r.doc_id for r in texts.filter(F.col("text").rlike(r"\S")).select("doc_id").collect()}
     assert {r.doc_id for r in corpus_queries.sentence_statistics(spark, small).collect()} == want
+
+
+def test_lone_case_object_matches(spark, tmp_path):
+    items = "review_item_id string, exported_at int, source_id string, run_id string, query string, family string"
+    spark.createDataFrame([("i1", 1, "r:zz", "r", "q1", "f"), ("i2", 1, "r:c2", "r", "none", "f"), ("i3", 1, "r:zz", "r", "q9", "f")], items).write.parquet(f"{tmp_path}/review_queue.parquet")
+    runs = [("a", 1, '{"case_id": "c1", "query": "q1", "family": "f"}'), ("b", 1, '[{"case_id": "c2", "query": "q2"}]')]
+    spark.createDataFrame(runs, "source_path string, loaded_at int, cases string").write.parquet(f"{tmp_path}/trace_runs.parquet")
+    got = {r.item_id for r in evidence_queries.review_items_with_case(spark, str(tmp_path)).collect()}
+    assert got == {"i1", "i2"}
