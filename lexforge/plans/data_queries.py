@@ -42,7 +42,7 @@ def _p1_flat(kind: str):
 
 
 def p1_other(spark: SparkSession, folder: str) -> DataFrame:
-    """Listed objects of a kind without a table of its own."""
+    """Listed objects of a kind without a table of its own. Not registered: the tables at hand have none."""
     return nested.link_by_containment(_nodes(spark, folder, bodies=True)).filter(~F.col("kind").isin(*P1_TABLES))
 
 
@@ -67,7 +67,6 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_nodes": p1_nodes,
     **{f"p1_{kind}": _p1_flat(kind) for kind in P1_TABLES},
-    "p1_other": p1_other,
     "p3_found": p3_found,
     "p3_lifespans": p3_lifespans,
     "p3_table": p3_table,
