@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lexforge.operators import retrieval
 from lexforge.plans import analytics_queries, corpus_queries, evidence_queries
 
 
@@ -25,3 +26,9 @@ def test_lone_case_object_matches(spark, tmp_path):
     spark.createDataFrame(runs, "source_path string, loaded_at int, cases string").write.parquet(f"{tmp_path}/trace_runs.parquet")
     got = {r.item_id for r in evidence_queries.review_items_with_case(spark, str(tmp_path)).collect()}
     assert got == {"i1", "i2"}
+
+
+def test_overlong_query_vector_hides_no_other(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "id bigint, vector array<double>")
+    queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, [1.0, 0.0, 0.0]), (12, [])], "query_id bigint, vector array<double>")
+    assert {(r.query_id, r.id) for r in retrieval.cosine(vectors, queries, 5).collect()} == {(10, 1), (11, 2)}
