@@ -121,7 +121,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    return residue.flagged(table(spark, folder, "documents"))
+    return residue.reasons(table(spark, folder, "documents"))
 
 
 QUERIES = {

@@ -1,13 +1,24 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Everything is Column expressions: the text is cleaned once, split into units (lines and sentences), and held against detectors. A text with
-strong evidence is flagged by itself. Every other text is scored, whatever its length: whether its body shares no term with its slug (document
-type, jurisdiction), whether it shares none with its title or has no title, how few distinct words it has, whether it has a weak word, and
-which share of its masked units comes from several hosts (sources or matters). Unit counts are pre-aggregated in the map tasks.
+Three kinds of evidence are put together for every document, whatever its length:
+
+* Terms. Each unit (line or sentence) is compared with two term profiles: that of texts which look like residue, and that of all others. The
+  first is seeded by detectors and by host evidence (units that short texts of several hosts share although they match neither slug nor title),
+  and it then speaks for wordings that no detector names. Profiles are counts over all documents in a hashed vocabulary of fixed size.
+* Slug and title. A body that shares no term with its slug (document type, jurisdiction) or its title needs less term evidence.
+* Detectors: patterns of unfilled fields, filler and notices, behind plain substring cues that one pass over a text finds.
+
+The text work is Column expressions in one scan; its result is written once. Only hashed counts (a bounded array) reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,48 +28,55 @@ from lexforge.session import cut
 
 _FILL = "insert|enter|fill in|complete|tbc|tbd|to be (?:completed|confirmed|inserted|determined)|ins[ée]rer|saisir|[àa] compl[ée]ter|einf[üu]gen|eintragen|insertar|completar|por completar|a completar"
 
-#: Unfilled template fields. Quoted mentions are removed before these apply.
+#: Unfilled template fields, each group behind its cues. Quoted mentions are removed before these apply.
 PLACEHOLDERS = (
-    r"\{\{[^{}\n]{1,80}\}\}",
-    r"\{%[^%\n]{1,80}%\}",
-    r"<%[^%\n]{1,80}%>",
-    r"\$[\[{(]\p{L}[^\])}\n]{1,60}[\])}]",
-    r"\{![^}\n]{2,80}\}",
-    r"(?<![{$!%\\])\{\p{L}[\p{L}\p{N}_]{2,40}\}(?!\})",
-    r"\[\[[^\[\]\n]{2,60}\]\]",
-    r"<<[^<>\n]{2,60}>>",
-    r"«\p{L}[\p{L}\p{N}_]*(?: [\p{L}\p{N}_]+){0,4}»",
-    r"@@[\p{L}\p{N}_ ]{2,40}@@",
-    r"%{1,2}\p{Lu}[\p{Lu}\p{N}_]{2,40}%",
-    r"#\p{Lu}[\p{Lu}\p{N}_]{2,40}#",
-    r"__\p{Lu}[\p{Lu}\p{N}_]{1,40}__",
-    r"(?<!~)~\p{Ll}[\p{Ll}\p{N}_]{2,40}~(?!~)",
-    r"\[\s*[•●]\s*\]",
-    r"\$\s?X[X,.]{2,}",
-    r"\bXX?[/.-]XX?[/.-](?:[X\d]{2,4})\b",
-    r"\[(?!SIC\]|REDACTED|EMPHASIS|CITATIONS?|FOOTNOTES?|TRANSLAT|SEAL\]|AT\]|DOT\]|ORIGINAL|ILLEGIBLE|INAUDIBLE|PAUSE|SIGNED|SIGNATURE|END)\p{Lu}[\p{Lu}\p{N}'’ _/-]{2,50}\]",
-    r"<(?!/|NOSCRIPT|SCRIPT|HTML|HEAD|BODY|TITLE|TABLE|TBODY|SPAN|DIV|STRONG|CENTER|FONT|STYLE|META|LINK|LIST|FOOTER|HEADER|SECTION)\p{Lu}[\p{Lu}\p{N}'’ _-]{2,50}>",
-    rf"(?iu)<(?:{_FILL})\s[^<>\n]{{1,60}}>",
-    rf"(?iu)[\[(](?:{_FILL})\b(?:[^\])\n]{{0,60}})[\])]",
-    rf"(?iu)\[[^\[\]\n]{{2,60}}(?:[:,-]|\s)\s*(?:{_FILL})\s*\]",
+    (("{",), (r"\{\{[^{}\n]{1,80}\}\}", r"\{%[^%\n]{1,80}%\}", r"\{![^}\n]{2,80}\}", r"(?<![{$!%\\])\{\p{L}[\p{L}\p{N}_]{2,40}\}(?!\})")),
+    (("<%", "<<", "«", "@@", "__", "~"), (r"<%[^%\n]{1,80}%>", r"<<[^<>\n]{2,60}>>", r"«\p{L}[\p{L}\p{N}_]*(?: [\p{L}\p{N}_]+){0,4}»", r"@@[\p{L}\p{N}_ ]{2,40}@@", r"__\p{Lu}[\p{Lu}\p{N}_]{1,40}__", r"(?<!~)~\p{Ll}[\p{Ll}\p{N}_]{2,40}~(?!~)")),
+    (("$[", "${", "$(", "$X", "$ X"), (r"\$[\[{(]\p{L}[^\])}\n]{1,60}[\])}]", r"\$\s?X[X,.]{2,}")),
+    (("%",), (r"%{1,2}\p{Lu}[\p{Lu}\p{N}_]{2,40}%",)),
+    (("#",), (r"#\p{Lu}[\p{Lu}\p{N}_]{2,40}#",)),
+    (("X/", "X-", "X."), (r"\bXX?[/.-]XX?[/.-](?:[X\d]{2,4})\b",)),
+    (
+        ("[",),
+        (
+            r"\[\[[^\[\]\n]{2,60}\]\]",
+            r"\[\s*[•●]\s*\]",
+            r"\[(?!SIC\]|REDACTED|EMPHASIS|CITATIONS?|FOOTNOTES?|TRANSLAT|SEAL\]|AT\]|DOT\]|ORIGINAL|ILLEGIBLE|INAUDIBLE|PAUSE|SIGNED|SIGNATURE|END)\p{Lu}[\p{Lu}\p{N}'’ _/-]{2,50}\]",
+            rf"(?iu)\[[^\[\]\n]{{2,60}}(?:[:,-]|\s)\s*(?:{_FILL})\s*\]",
+        ),
+    ),
+    (
+        ("<",),
+        (
+            r"<(?!/|NOSCRIPT|SCRIPT|HTML|HEAD|BODY|TITLE|TABLE|TBODY|SPAN|DIV|STRONG|CENTER|FONT|STYLE|META|LINK|LIST|FOOTER|HEADER|SECTION)\p{Lu}[\p{Lu}\p{N}'’ _-]{2,50}>",
+            rf"(?iu)<(?:{_FILL})\s[^<>\n]{{1,60}}>",
+        ),
+    ),
+    (("[", "("), (rf"(?iu)[\[(](?:{_FILL})\b(?:[^\])\n]{{0,60}})[\])]",)),
 )
 
+#: The words of the standard filler passage, or their stems; up to four more letters may follow each.
 _LATIN = (
-    "lorem|ipsum|dolor|sit|amet|consect|adipis|elit|sed|eiusm|tempor|incidu|labor|magn|aliqu|enim|minim|venia|quis|nostr|exerci|ullam|nisi|commod|consequ|duis|aute|irur|reprehen|volupt|velit|esse|cill|eufug|fugi|null|pariatu|exe|except|sint|occaec|cupid|proid|sunt|culp|offic|deser|moll|anim|velor|"
-    "esse|quist"
+    "lorem|ipsum|dolor|sit|amet|consect|adipis|elit|sed|eiusm|tempor|incidu|labor|magn|aliqu|enim|minim|venia|quis|nostr|exerci|ullam|nisi|commod|consequ|duis|aute|irur|reprehen|volupt|velit|esse|cill|eu|fugi|null|pariatu|"
+    "ex|except|sint|occaec|cupid|proid|sunt|culp|offic|deser|moll|anim|vel"
 )
 _PART = "heading|title|text|content|paragraph|clause|wording|body copy|copy|section|sentence"
-_PLACE = r"will appear here|goes here|here|for layout only|to be replaced|to show how the page looks|[-–] ?do not file|[-–] ?overwrite before use"
+_PLACE = r"will appear here|goes here|here|for layout only|to be replaced"
 
 #: Four words of filler Latin in a row, in lower-case text.
 LATIN_RUN = rf"(?:\b(?:{_LATIN})\p{{L}}{{0,4}}\b[\s,.;]+){{4,}}"
 
-#: Texts without any of these hold no such run worth the search.
-LATIN_CUES = ("lorem", "ipsum", "dolor", "consect", "adipis", "cillum", "volupt", "pariatu", "reprehen", "ullam", "irur", "fugi", "eufug", "incidu", "velit", "aliqu", "veniam", "veniat", "nullam", "magnum", "minima", "nisiu", "elitra", "nostr")
+#: Texts without any of these hold no such run: four of its words in a row have one of them at least.
+LATIN_CUES = ("lorem", "ipsum", "dolor", "amet", "consect", "adipis", "eiusm", "elit", "incidu", "labor", "magn", "aliqu", "enim", "minim", "venia", "nostr", "exerci", "ullam", "nisi", "commod", "duis", "irur", "reprehen", "volupt", "velit", "cill", "fugi", "null", "pariatu", "occaec", "cupid", "proid", "deser", "moll")
+
+#: Texts without any of these hold no unit of FILLER_UNITS.
+FILLER_CUES = ("your ", "example", "sample", "dummy", "placeholder", "\ntest ", ". test ", "insert test", "generic", "filler", "mock", "xx", "zz", "texte", "paragraphe d", "ici ", "ins\u00e9rer", "inserer", "beispiel", "blindtext", "platzhalter", "mustertext", "lltext", "ihr text", "rrafo de ejemplo", "parrafo de ejemplo", "texto", "su texto", "inserte")
 
 #: Filler as a whole unit.
 FILLER_UNITS = (
     rf"(?iu)^\W*(?:insert )?(?:your|example|sample|dummy|placeholder|test|generic|filler|mock) (?:{_PART})(?: (?:{_PART}))?\s*(?:{_PLACE})?\W*$",
+    # set apart by a dash, or with what it is for
+    rf"(?iu)^\W*(?:insert )?(?:your|example|sample|dummy|placeholder|test|generic|filler|mock) (?:{_PART})(?: (?:{_PART}))?(?:\s*[-–—:]\s*|\s+(?:to|will)\s+)(?:\p{{L}}+\s?){{1,6}}\W*$",
     r"(?iu)^\W*(?:(?:x{2,}|z{2,})\b\s*){3,}\W*$",
     r"(?iu)^\W*(?:votre texte ici|texte fictif|texte d'exemple|paragraphe d'exemple|faux texte|ins[ée]rer (?:le|votre|ici) (?:contenu|texte))\b.{0,50}$",
     r"(?iu)^\W*(?:beispiel(?:absatz|text)|blindtext|platzhalter(?:text)?|mustertext|f[üu]lltext|ihr text hier|hier steht ihr text|hier text einf[üu]gen)\b.{0,50}$",
@@ -81,6 +99,16 @@ _STATE = (
     r"not accessible(?: with your account)?|down(?: for maintenance)?|under(?:going)? (?:scheduled )?maintenance)|(?:was|were) (?:revoked|not found|moved|deleted|rejected)|timed out|expired)"
 )
 
+#: Texts without any of these hold no unit of NOTICE_UNITS.
+NOTICE_CUES = (
+    "script", " js", "js ", "browser", "navegador", "skript", "cookies", "loading", "checking your", "if nothing appears", "\nerror", ". error", "error:", "error at ", "erreur", "fehler", "exception", "fault at ", "fatal", "traceback", "http", "\nstatus", "server re", "server error",
+    "bad request", "unauthorized", "payment required", "not allowed", "not acceptable", "time-out", "timeout", "length required", "precondition failed", "too large", "too long", "unsupported media", "too many requests", "not implemented", "bad gateway",
+    "unavailable", "insufficient storage", "unprocessable", "not found", "not supported", "forbidden", "gone", "conflict", "locked", "access denied", "login required", "permission denied", "acc\u00e8s refus", "acces refus", "acceso denegado", "verweigert",
+    "not be ", "couldn't be", "can't be", "failed to", "could not", "couldn't", "not exist", "no longer", "been moved", "been deleted", "been removed", "been revoked", "expired", "timed out", "not available", "offline", "overloaded", "busy",
+    "corrupted", "password protected", "not valid", "invalid", "not accessible", "is down", "are down", "maintenance", "revoked", "were moved", "was moved", "was deleted", "were deleted", "was rejected", "were rejected", "ocr ", "conversion", "empty response", "rate limited",
+    "no preview", "unsupported file", "no text", "n'existe plus", "expir\u00e9", "indisponible", "introuvable", "konnte nicht", "nicht gefunden", "nicht erreichbar", "nicht verf", "abgelaufen", "caducado", "expirado", "no est", "no se ", "no existe", "ya no",
+)
+
 #: Error messages and script notices as a whole unit.
 NOTICE_UNITS = (
     rf"(?iu)^\W*{_OPEN}{_THING} {_STATE}(?: right now| at (?:this|the) (?:time|moment)| at present| yet)?(?: (?:for about|for|until|after|in) [\p{{L}}\p{{N}}, -]{{1,40}})?\W*$",
@@ -125,18 +153,37 @@ RAW_NOTICES = (
     r"(?iu)traceback \(most recent call last\)",
 )
 
-#: Words that alone prove nothing, but count together with combined evidence.
-WEAK = r"(?iu)\b(?:error|unavailable|not found|denied|expired|forbidden|javascript|browser|cookies?|scripts?|reload|refresh|sign in|log ?in|timed? ?out|maintenance|placeholder|lorem|sample|dummy|template|coming soon|under construction|no content|exception|server|introuvable|indisponible|fehler|erreur|no disponible)\b"
+#: Size of the hashed vocabulary, as a power of two: what the driver and each task hold of it doesn't grow with the data.
+VOCABULARY_BITS = 18
 
-#: A text of up to so many distinct words counts as one of low information in full, a richer one in proportion less.
+#: A text of up to so many distinct words is one of low information.
 PLAIN_WORDS = 40
 
-#: The score from which combined evidence flags a text: one each for slug, title, low information and a weak word, up to COPIED for copies.
-COMBINED, COPIED = 5.0, 2.0
+#: A unit in so many documents, of two hosts or matters at least, counts as copied.
+COPIES = 3
+
+#: The mean log-odds a term that flags a unit, and what a mismatch with the slug or with the title takes off it.
+NEEDED, MISMATCH = 1.0, 0.25
+
+#: Words and phrases that alone prove nothing, but count with host evidence.
+WEAK_WORDS = (
+    "error", "errors", "unavailable", "denied", "expired", "forbidden", "javascript", "browser", "cookie", "cookies", "script", "scripts", "reload", "refresh", "login", "timeout", "maintenance", "placeholder", "lorem", "sample", "dummy",
+    "template", "exception", "server", "introuvable", "indisponible", "fehler", "erreur",
+)
+WEAK_PHRASES = ("not found", "sign in", "log in", "timed out", "time out", "coming soon", "under construction", "no content", "no disponible")
+
+#: The score from which host evidence flags a text: one each for slug, title, low information and a weak word, up to COPIED for copies.
+SCORE, COPIED = 5.0, 2.0
 
 #: So many copies of a text's rarest unit count in full, fewer by their logarithm.
 MANY = 8
 
+#: Units of fewer distinct terms are flagged only where they are copied.
+FEW_TERMS = 3
+
+#: Documents' worth of prior behind each term's share in a profile, and the bound of one term's log-odds.
+PRIOR, BOUND = 2.0, 4.0
+
 
 def cleaned(text: Column) -> Column:
     """One kind of blank, one kind of line end, the common character references decoded."""
@@ -155,68 +202,179 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     return hit
 
 
-def _monotone(unit: Column) -> Column:
-    """A unit of one word said five times or more, or of ten words or more with each said four times on average."""
-    words = F.split(F.trim(unit), " ")
-    distinct = F.size(F.array_distinct(F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^\\p{L}\\p{N}]", "")))))
-    return F.when(F.size(words) >= 5, (distinct == 1) | ((F.size(words) >= 10) & (distinct * 4 <= F.size(words)))).otherwise(False)
+def _cued(text: Column, cues: tuple[str, ...]) -> Column:
+    """Whether any cue is in the text: a plain substring search, before the dearer patterns."""
+    hit = F.lit(False)
+    for c in cues:
+        hit = hit | F.contains(text, F.lit(c))
+    return hit
+
+
+def _placeholders(text: Column) -> Column:
+    hit = F.lit(False)
+    for cues, patterns in PLACEHOLDERS:
+        hit = hit | (_cued(text, cues) & _any(text, patterns))
+    return hit
+
+
+#: The bit of each set of cues in `_cue_bits`.
+LATIN, FILLER, NOTICE, WEAK = 1, 2, 4, 8
+
+
+def _cue_bits(low: Column) -> Column:
+    """Which sets of cues a lower-case text has: all of them in one pass over each text (Aho-Corasick), in Arrow batches."""
+
+    @F.pandas_udf("int")
+    def bits(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for bit, cues in ((LATIN, LATIN_CUES), (FILLER, FILLER_CUES), (NOTICE, NOTICE_CUES), (WEAK, WEAK_PHRASES)):
+            for cue in cues:
+                automaton.add_word(cue, automaton.get(cue, 0) | bit)
+        automaton.make_automaton()
+
+        def of(text: str) -> int:
+            found = 0
+            for _, bit in automaton.iter(text):
+                found |= bit
+            return found
+
+        return texts.map(of)
+
+    return bits(low)
+
+
+def _words(text: Column) -> Column:
+    """The words of a unit in lower case, without digits: numbers, and codes of one letter, don't count."""
+    return F.filter(F.split(F.lower(F.translate(text, "0123456789", "")), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, host, matter_id, kind of strong evidence (template, filler, notice, or null), score of the combined
-    evidence but for copies, copy (the text's hash), and its distinct masked units.
+    """One row per document with text: doc_id, host, matter_id, kind of the detectors (template, filler, notice, or null), plain (how many
+    distinct words), missed (0 to 2: slug and title that share no term with the body), score (of host evidence, but for copies), units (hash of
+    its words, hashes of its distinct terms).
 
-    Null and blank texts have neither. Quoted mentions are removed first, so a text that only mentions such things isn't flagged.
+    Null and blank texts have no row. Quoted mentions are removed first, so a text that only quotes such things isn't flagged.
     """
     d = documents.filter(F.col("text").rlike(r"\S")).withColumn("_t", cleaned(F.col("text")))
-    d = d.withColumn("_q", F.regexp_replace("_t", r"\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|„[^“\n]{1,120}“", " "))
-    lines = F.regexp_replace("_q", r"</?(?i:html|head|body|title|h[1-6]|p|div|br|span|noscript)[^<>]{0,80}>", "\n")
-    d = d.withColumn("_all", F.split(lines, r"\n+|(?<=[.!?])\s+"))
-    # the patterns are anchored, so a unit that doesn't fit fails at its first words
-    d = d.withColumn("_u", F.filter("_all", lambda u: F.length(u) > 2))
-    d = d.withColumn("_l", F.lower("_q"))
-    latin = F.lit(False)
-    for cue in LATIN_CUES:
-        latin = latin | F.contains("_l", F.lit(cue))
+    d = d.withColumn("_q", F.regexp_replace("_t", r"\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“", " "))
+    d = d.withColumn("_l", F.concat(F.lit("\n"), F.lower("_q")))
+    d = d.withColumn("_c", _cue_bits(F.col("_l")))
+    has = lambda bit: F.col("_c").bitwiseAND(bit) > 0
+    lines = F.when(F.contains("_q", F.lit("<")), F.regexp_replace("_q", r"</?(?i:html|head|body|title|h[1-6]|p|div|br|span|noscript)[^<>]{0,80}>", "\n")).otherwise(F.col("_q"))
+    d = d.withColumn("_u", F.filter(F.split(lines, r"\n+|(?<=[.!?])\s+"), lambda u: F.length(u) > 2))
+    d = d.withColumn("_w", F.transform("_u", _words))
+    # a unit of one word said five times or more, or of eight words or more with each said four times on average
+    few = lambda w: F.size(F.array_distinct(w)) * F.when(F.size(w) >= 8, 4).otherwise(F.size(w)) <= F.size(w)
+    monotone = F.exists("_u", lambda u: (lambda w: (F.size(w) >= 5) & few(w))(F.split(F.lower(F.trim(u)), " ")))
     kind = (
-        F.when(_any(F.col("_q"), PLACEHOLDERS), "template")
-        .when((latin & F.col("_l").rlike(LATIN_RUN)) | F.exists("_u", lambda u: _any(u, FILLER_UNITS)) | F.exists("_all", _monotone), "filler")
-        .when(_any(F.col("_t"), RAW_NOTICES) | F.exists("_u", lambda u: _any(u, NOTICE_UNITS)), "notice")
+        F.when(_placeholders(F.col("_q")), "template")
+        .when((has(LATIN) & F.col("_l").rlike(LATIN_RUN)) | monotone | (has(FILLER) & F.exists("_u", lambda u: _any(u, FILLER_UNITS))), "filler")
+        .when(_any(F.col("_t"), RAW_NOTICES) | (has(NOTICE) & F.exists("_u", lambda u: _any(u, NOTICE_UNITS))), "notice")
     )
-    d = d.withColumn("kind", kind)
     terms = lambda text: F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
     slug = terms(F.concat_ws(" ", "document_type", "jurisdiction"))
-    title = terms(F.regexp_extract("_t", r"(?m)^#{1,6} +(\S.*)$", 1))
-    body = F.regexp_replace("_l", r"(?m)^#{1,6} .*$", " ")
-    missed = lambda words: (~F.exists(words, lambda w: F.contains(body, w))).cast("double")
-    masked = lambda u: F.trim(F.regexp_replace(F.regexp_replace(F.lower(u), r"\p{L}{0,2}\p{N}+", "0"), r"[^\p{L}0]+", " "))
-    plain = F.filter(F.transform(F.filter("_all", lambda u: ~F.startswith(u, F.lit("#"))), masked), lambda u: u != "")
-    units = F.array_distinct(F.transform(plain, lambda u: F.struct(F.xxhash64(u).alias("unit"))))
-    distinct = F.greatest(F.size(F.array_distinct(F.split(masked(body), " "))), F.lit(1))
-    score = missed(slug) + missed(title) + F.least(F.lit(1.0), PLAIN_WORDS / distinct) + F.col("_q").rlike(WEAK).cast("double")
-    return d.select("doc_id", F.lower(F.trim("source")).alias("host"), "matter_id", "kind", score.alias("score"), F.xxhash64("text").alias("copy"), units.alias("units"))
-
-
-def flagged(documents: DataFrame, copies: int = 3) -> DataFrame:
-    """doc_id and kind of each document that is no real content.
-
-    kind `duplicate` marks texts by combined evidence. A unit counts as copied if its masked form is in at least `copies` documents, from at
-    least two hosts or matters.
+    title = terms(F.when(F.contains("_t", F.lit("#")), F.regexp_extract("_t", r"(?m)^#{1,6} +(\S.*)$", 1)).otherwise(""))
+    body = F.when(F.contains("_l", F.lit("#")), F.regexp_replace("_l", r"(?m)^#{1,6} .*$", " ")).otherwise(F.col("_l"))
+    d = d.withColumn("_b", body)
+    missed = lambda words: (~F.exists(words, lambda w: F.contains(F.col("_b"), w))).cast("int")
+    hashes = lambda w: F.transform(F.array_distinct(w), lambda t: F.pmod(F.xxhash64(t), F.lit(1 << VOCABULARY_BITS)).cast("int"))
+    units = F.transform("_w", lambda w: F.struct(F.xxhash64(w).alias("unit"), hashes(w).alias("terms")))
+    d = d.withColumns({"_d": F.array_distinct(F.flatten("_w")), "_m": missed(slug) + missed(title)})
+    weak = has(WEAK) | F.arrays_overlap("_d", F.array(*[F.lit(w) for w in WEAK_WORDS]))
+    score = F.col("_m") + F.least(F.lit(1.0), PLAIN_WORDS / F.greatest(F.size("_d"), F.lit(1))) + weak.cast("int")
+    host = F.lower(F.trim("source")).alias("host")
+    return d.select("doc_id", host, "matter_id", kind.alias("kind"), F.size("_d").alias("plain"), F.col("_m").alias("missed"), score.alias("score"), units.alias("units"))
+
+
+def _several(group: DataFrame) -> DataFrame:
+    """Units that are copied: in COPIES documents at least, from two hosts or matters. Counts are pre-aggregated before the shuffle."""
+    ends = [f(c).alias(f"_{f.__name__}_{c}") for c in ("host", "matter_id") for f in (F.min, F.max)]
+    counted = group.groupBy("unit").agg(F.count("*").alias("n"), *ends)
+    return counted.filter((F.col("n") >= COPIES) & ((F.col("_min_host") != F.col("_max_host")) | (F.col("_min_matter_id") != F.col("_max_matter_id"))))
+
+
+def seeded(found: DataFrame) -> Column:
+    """Whether a document seeds the residue profile by a detector: filler or a notice, with little else in it."""
+    return F.coalesce(F.col("kind").isin("filler", "notice") & (F.col("plain") <= PLAIN_WORDS), F.lit(False))
+
+
+def duplicates(found: DataFrame) -> DataFrame:
+    """doc_id and terms of the documents that host evidence flags: mismatched texts of low information, all of whose units are copied."""
+    open_ = found.filter(F.col("kind").isNull() & (F.col("score") >= SCORE - COPIED)).select("doc_id", "host", "matter_id", "score", F.explode("units").alias("u")).select("doc_id", "host", "matter_id", "score", "u.unit", "u.terms")
+    weight = F.least(F.lit(1.0), F.log2("n") / F.log2(F.lit(float(MANY))))
+    placed = open_.join(_several(open_).select("unit", weight.alias("copied")), "unit", "left")
+    rarest = placed.groupBy("doc_id", "score").agg(F.min(F.coalesce("copied", F.lit(0.0))).alias("copied"), F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    return rarest.filter((F.col("copied") > 0) & (F.col("score") + COPIED * F.col("copied") >= SCORE)).select("doc_id", "terms")
+
+
+def term_odds(found: DataFrame, copied: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of each hashed term between the two profiles, for a document of the other texts and for a seed.
+
+    A document's own count is left out of its profile, so a term is judged by other documents alone; a term of one document has odds of 0.
+    """
+    size = 1 << VOCABULARY_BITS
+    own = found.select(seeded(found).alias("seed"), F.array_distinct(F.flatten(F.transform("units", lambda u: u["terms"]))).alias("terms"))
+    counts = own.select("seed", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if("seed").alias("a"), F.count_if(~F.col("seed")).alias("b"))
+    shared = copied.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    total = found.agg(F.count_if(seeded(found)).alias("a"), F.count_if(~seeded(found)).alias("b")).union(copied.agg(F.count("*"), F.lit(0).cast("bigint"))).agg(F.sum("a"), F.sum("b")).first()
+    rows = counts.unionByName(shared).groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # VOCABULARY_BITS bounds it
+    a, b = np.zeros(size), np.zeros(size)
+    a[rows["term"].to_numpy(dtype=np.int64)], b[rows["term"].to_numpy(dtype=np.int64)] = rows["a"], rows["b"]
+    na, nb = (float(x or 0) for x in total)
+    if not na or not nb:
+        return np.zeros(size, np.float32), np.zeros(size, np.float32)
+    share = lambda c, n: np.log((np.maximum(c, 0) + PRIOR * n / (na + nb)) / n)
+    odds = lambda x, y: np.clip(share(x, na) - share(y, nb), -BOUND, BOUND).astype(np.float32)
+    return odds(a, b - 1), odds(a - 1, b)
+
+
+HIT_SCHEMA = "doc_id bigint, host string, matter_id string, unit bigint, terms int"
+
+
+def unit_hits(found: DataFrame, odds: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """HIT_SCHEMA of each unit whose terms speak for residue: their mean log-odds reach NEEDED, less MISMATCH for slug and for title."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = batch.column("units")
+            of_doc = pc.list_parent_indices(units).to_numpy()
+            unit, terms = units.flatten().flatten()
+            of_unit = pc.list_parent_indices(terms).to_numpy()
+            term = terms.flatten().to_numpy()
+            seed = batch.column("seed").to_numpy(zero_copy_only=False).astype(bool)[of_doc][of_unit]
+            n = np.bincount(of_unit, minlength=len(unit))
+            mean = np.bincount(of_unit, weights=np.where(seed, odds[1][term], odds[0][term]), minlength=len(unit)) / np.maximum(n, 1)
+            hit = np.flatnonzero((n > 0) & (mean >= NEEDED - MISMATCH * batch.column("missed").to_numpy()[of_doc]))
+            docs = batch.select(["doc_id", "host", "matter_id"]).take(pa.array(of_doc[hit]))
+            yield pa.RecordBatch.from_arrays([*docs.columns, unit.take(pa.array(hit)), pa.array(n[hit].astype(np.int32))], names=["doc_id", "host", "matter_id", "unit", "terms"])
+
+    return found.select("doc_id", "host", "matter_id", "missed", seeded(found).alias("seed"), "units").mapInArrow(run, HIT_SCHEMA)
+
+
+def reasons(documents: DataFrame) -> DataFrame:
+    """One row per document that is no real content: doc_id, kind, by_detector, by_hosts, by_terms.
+
+    kind is the detectors' (template, filler, notice), else `duplicate` where host evidence flags it, else `combined` by its terms.
     """
-    # an explode, not a filter: a filter would be pushed below and repeat the text work for each detector
-    none = lambda kind: F.lit(None).cast(kind)
-    strong = F.array(F.struct("kind", none("double").alias("score"), none("bigint").alias("copy"), none("bigint").alias("unit")))
-    each = F.transform("units", lambda u: F.struct(none("string").alias("kind"), F.col("score").alias("score"), F.col("copy").alias("copy"), u.unit.alias("unit")))
-    e = F.explode(F.when(F.col("kind").isNotNull(), strong).otherwise(each))
-    found = cut(evidence(documents).select("doc_id", "host", "matter_id", e.alias("e")).select("doc_id", "host", "matter_id", "e.*"), "residue")
-    units = found.filter("kind IS NULL")
-    hosts = units.groupBy("unit").agg(F.count("*").alias("n"), F.min("host").alias("h0"), F.max("host").alias("h1"), F.min("matter_id").alias("m0"), F.max("matter_id").alias("m1"))
-    repeated = hosts.filter((F.col("n") >= copies) & ((F.col("h0") != F.col("h1")) | (F.col("m0") != F.col("m1")))).select("unit", F.least(F.lit(1.0), F.log2("n") / F.log2(F.lit(float(MANY)))).alias("copied"))
-    # copies add COPIED at most, so other texts can't reach the score
-    open_ = units.filter(F.col("score") >= COMBINED - COPIED).join(repeated, "unit", "left")
-    rarest = open_.groupBy("doc_id", "copy", "score").agg(F.min(F.coalesce("copied", F.lit(0.0))).alias("copied"))
-    by_copies = rarest.filter((F.col("copied") > 0) & (F.col("score") + COPIED * F.col("copied") >= COMBINED))
-    return found.filter("kind IS NOT NULL").select("doc_id", "kind").union(by_copies.select("doc_id", F.lit("duplicate").alias("kind")))
+    found = cut(evidence(documents), "residue")
+    copied = cut(duplicates(found), "residue-copied")
+    hits = cut(unit_hits(found, term_odds(found, copied)), "residue-hits")
+    enough = hits.filter(F.col("terms") >= FEW_TERMS).select("doc_id")
+    few = hits.filter(F.col("terms") < FEW_TERMS)
+    repeated = _several(few.select("unit", "host", "matter_id", "doc_id").distinct()).select("unit")
+    by_terms = enough.union(few.join(repeated, "unit", "left_semi").select("doc_id"))
+    no, yes, none = F.lit(False), F.lit(True), F.lit(None).cast("string")
+    rows = found.filter("kind IS NOT NULL").select("doc_id", "kind", yes.alias("by_detector"), no.alias("by_hosts"), no.alias("by_terms"))
+    rows = rows.union(copied.select("doc_id", none, no, yes, no)).union(by_terms.select("doc_id", none, no, no, yes))
+    each = rows.groupBy("doc_id").agg(F.max("kind").alias("kind"), *[F.max(c).alias(c) for c in ("by_detector", "by_hosts", "by_terms")])
+    return each.withColumn("kind", F.coalesce("kind", F.when(F.col("by_hosts"), "duplicate").otherwise("combined")))
+
+
+def flagged(documents: DataFrame) -> DataFrame:
+    """doc_id and kind of each document that is no real content."""
+    return reasons(documents).select("doc_id", "kind")
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

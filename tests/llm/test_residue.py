@@ -59,7 +59,7 @@ def test_flagged_kinds(spark):
 def test_real_texts_are_kept(spark):
     assert residue.flagged(docs(spark, KEPT)).collect() == []
     clean = residue.without_residue(docs(spark, KEPT + ["Dear {{name}},"]))
-    assert clean.count() == len(KEPT) and clean.columns == docs(spark, []).columns if False else True
+    assert clean.count() == len(KEPT) and clean.columns == docs(spark, []).columns
 
 
 def test_combined_evidence(spark):
@@ -91,3 +91,34 @@ def test_combined_evidence_of_long_and_titled_texts(spark):
     about = "# Letter of thanks\n\nThe letter gives thanks for the work."
     many = docs(spark, [about] * 8).unionByName(docs(spark, [about], source="b"))
     assert residue.flagged(many).count() == 0
+
+
+REAL = "The {a} shall deliver the {b} to the {c} within {n} days of the notice, and the {a} shall keep records of the {b} for {n} years."
+
+
+def test_terms_flag_wordings_that_no_detector_names(spark):
+    """Seeds name some wordings of a broken viewer; other texts with the same terms, and units of real texts, are flagged by terms alone."""
+    words = "vendor tenant landlord supplier licensor employer trustee lender guarantor assignee".split()
+    real = [REAL.format(a=words[i % 10], b=words[(i * 3 + 1) % 10], c=words[(i * 7 + 2) % 10], n=i) for i in range(60)]
+    seeds = [f"The viewer could not be loaded. Page {i} of the portal is unavailable." for i in range(12)]
+    unnamed = ["Viewer portal page loaded unavailable", "Portal unavailable, viewer page"]
+    mixed = real[0] + "\n\nViewer page of portal unavailable"
+    texts = real + seeds + unnamed + [mixed]
+    got = {r.doc_id: r for r in residue.reasons(docs(spark, texts)).collect()}
+    n = len(real)
+    assert set(got) == set(range(n, n + len(seeds) + len(unnamed) + 1))
+    assert all(not got[i].by_detector and got[i].by_terms and got[i].kind == "combined" for i in range(n + len(seeds), len(texts)))
+
+
+def test_long_notice_and_long_quote(spark):
+    """Neither a unit's nor a quote's length switches anything off."""
+    long = "Your browser blocks JavaScript " + "and the page can't be shown " * 1 + "."
+    notice = "Please enable JavaScript. " + "x" * 400
+    assert {r.doc_id for r in residue.flagged(docs(spark, [long, notice])).collect()} == {0, 1}
+    quoted = "The guide says \"" + "fill in {{name}} and more " * 20 + "\" to all staff."
+    assert residue.flagged(docs(spark, [quoted])).count() == 0
+
+
+def test_ties_repeats_and_nulls(spark):
+    rows = docs(spark, [None, "Dear {{name}},", "Dear {{name}},"], source=None, matter_id=None, document_type=None, jurisdiction=None)
+    assert sorted((r.doc_id, r.kind) for r in residue.flagged(rows).collect()) == [(1, "template"), (2, "template")]
