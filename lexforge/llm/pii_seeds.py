@@ -186,4 +186,67 @@ SEEDS = (
     "for Westerby Marine and Fennfield Software, the Supplier",
     "the green hill and the young king walk to the white bridge",
     "will smith the clerk mark the long price of wood",
+    # full names without a cue beside them, and capitalised runs of other kinds in the same places
+    "The note that [[person_name:Moira Tavish]] left was short.",
+    "In May [[person_name:Bongani Sithole]] came back.",
+    "For [[person_name:Yetunde Balogun]] the case is closed.",
+    "It was [[person_name:Cormac Delaney]] who paid.",
+    "[[person_name:Ngaire Whetu]] of Mirefield rents a room.",
+    "The house of [[person_name:Torvald Lien]] was sold.",
+    "Then [[person_name:Shanice Porter]] and [[person_name:Dieter Kranz]] left.",
+    "[[person_name:Xiomara Paz]] was hired in 2019.",
+    "We saw [[person_name:Lindiwe Khumalo]] there.",
+    "Payment to [[person_name:Arturo Benedetti]] is due.",
+    "The papers of [[person_name:Malcolm Fry]] were lost.",
+    "Nothing was given to [[person_name:Zhou Ming]] that day.",
+    "[[person_name:Ruaridh Munro]] is the owner, and [[person_name:Ffion Rees]] rents it.",
+    "Invoices for [[person_name:Howard Finch]] are in the box.",
+    "The keys are with [[person_name:Tunde Bakare]].",
+    "Has [[person_name:Ottilie Brandt]] been paid?",
+    "Because [[person_name:Lachlan Reid]] was ill, [[person_name:Mirembe Okello]] went.",
+    "A friend of [[person_name:Paloma Iglesias]] drove the car.",
+    "[[person_name:Wojciech Zielinski]] has a key.",
+    "[[person_name:Jürgen Klee]] and [[person_name:Åse Lindahl]] live next door.",
+    "[[person_name:Sanjit Bose]] owes the rent.",
+    "[[person_name:Philip Marsh]] owes the rent.",
+    "[[person_name:Oona K. Hallam]] and [[person_name:Brigid T. Quill]] live there.",
+    "[[person_name:Hendrik van der Merwe]] and [[person_name:Inaya al Farsi]] own it.",
+    "[[person_name:Joaquim dos Anjos]] met [[person_name:Liesel von Arnim]].",
+    "who is [[person_name:nancy brannigan]] employed by",
+    "did [[person_name:robert walker]] sign",
+    "The claim was sent to [[person_name:Zhang Li]], [[person_name:Mohammed Haddad]] and [[person_name:Ashok Mistry]].",
+    "[[person_name:Thomas Keane]], met [[person_name:Orla Byrne]] and [[person_name:Gerald Stubbs]].",
+    "[[person_name:Patricia Holm]] called [[person_name:Winston Achebe]].",
+    "[[person_name:Jennifer Stone]] signed the lease with [[person_name:Matthew Grove]].",
+    "The site lies in New York, and the court in Los Angeles.",
+    "They flew from South Africa to Hong Kong and back to Great Britain.",
+    "The Supreme Court and the High Court sat in Westminster.",
+    "Human Rights Watch and the Red Cross wrote to the United Nations.",
+    "The Gulf of Mexico, the Black Sea and North America are on the map.",
+    "On Monday January 4 the Annual Report was filed.",
+    "The Limited Partnership Act and the Income Tax Rules apply.",
+    "The Health Officer, the Chief Executive and the Board met.",
+    "Payment Terms and Delivery Dates are set out in Annex B.",
+    "Confidential Information means all Business Records of the Licensor.",
+    "Notice of Default, Statement of Claim and Proof of Service are filed.",
+    "Courts of Norwold, Ostland and Tavinshire agree.",
+    "The firm of Brackley Moss LLP and Harlow Stone Partners acted.",
+    "Cedar Mill Logistics GmbH, Harrow Vale Foods Inc. and Lowmoor Quay plc paid.",
+    "The address is [[address:10 Broadgate, Mirefield, NY 10006]].",
+    "Send it to [[address:455 Larchmont, Stonegate, TX 75001]], please.",
+    "[[person_name:Lars Tveit]] and [[person_name:Igor Petrovsky]] own the flat.",
+    "In April [[person_name:Jenny Halvorsen]] took the keys.",
+    "The letter of [[person_name:Lloyd Pemberton]] was lost.",
+    "They saw [[person_name:Klaus Oberhof]], and left.",
+    "[[person_name:Bruno Sartori]] lives here with [[person_name:Brett Langdon]].",
+    "[[person_name:Nerys Wood]] lives here.",
+    "We spoke with [[person_name:Una Field]] at noon.",
+    "Counsel for [[person_name:Ottavia Stone]] replied.",
+    "The note was left by [[person_name:Ji-ho Bell]].",
+    "the keys of [[person_name:Gareth Winslow]] are lost",
+    "did [[person_name:nina kowalczyk]] sign the lease",
+    "what did [[person_name:oscar lindgren]] pay",
+    "who told [[person_name:amelia thornbury]] about the rent",
+    "The agreement is with Lantern Mews & Sons Ltd., dated 2018.",
+    "He was hired by Hazel Wharf & Sons Ltd. and by Orchard Mews & Partners.",
 )

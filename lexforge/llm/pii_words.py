@@ -12,12 +12,6 @@ GIVEN = frozenset(
     """.split()
 )
 
-#: Endings that are common in family names and rare in other words, lower case.
-SURNAME_ENDINGS = (
-    "ova", "eva", "inska", "insky", "iades", "opoulos", "enko", "ondez", "andez", "ellini", "etti", "erby", "arley", "owell", "owick", "wicz", "iford", "hurst", "ara", "moto", "ensen", "sson", "egren", "quist", "stad", "anwar",
-    "adoye", "escu", "amont", "chev", "shvili", "yan", "ian", "inen",
-)
-
 #: More given names, from common name statistics, lower case. They and FAMILY are evidence for a candidate, never a condition of it.
 MORE_GIVEN = frozenset(
     """
