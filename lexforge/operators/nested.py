@@ -1,7 +1,7 @@
 """Deeply nested records to related flat tables, by interval labels.
 
-Every object of a record gets a pre-order and a post-order number from one depth-first walk; an object's interval (pre, post) lies inside the
-interval of every object that holds it. The walk is a small per-record helper run inside tasks; everything else (one row per key, node tables
+Every node of a record (object, or scalar member of a list) gets a pre-order and a post-order number from one depth-first walk; a node's interval
+(pre, post) lies inside the interval of every object that holds it. The walk may also be told to label the members of lists that are objects only. The walk is a small per-record helper run inside tasks; everything else (one row per key, node tables
 per type, links by containment) is DataFrame work. A record is one row of the input, so a task never holds more than one record's objects.
 """
 
@@ -42,11 +42,15 @@ def _as_list(value):
     return value if isinstance(value, list) else None
 
 
-def walk(column: str, text: str | None, lists: frozenset[str]) -> list[tuple]:
-    """(kind, node_path, position, depth, pre, post, object) of each object that is a member of a list in `text`, in pre-order.
+LISTED, LONE, VALUE = "listed", "lone", "value"
 
-    kind is the name of the member that holds the list. depth counts listed objects above it. Labels are given to listed objects only and
-    count from 0. The stack is explicit, so nesting is bounded by the JSON reader alone. Null, blank or invalid text holds no object.
+
+def walk(column: str, text: str | None, lists: frozenset[str], every: bool = False) -> list[tuple]:
+    """(kind, node_path, position, depth, pre, post, node, role) of each labelled node in `text`, in pre-order.
+
+    Listed objects are labelled (role `listed`); with `every`, lone objects (`lone`) and the scalar members of lists (`value`, also a list in a list without members) too. kind is the
+    name of the member that holds the node or its list. depth counts labelled nodes above it; labels count from 0. The stack is explicit, so
+    nesting is bounded by the JSON reader alone. Null, blank or invalid text holds no node.
     """
     if text is None or not text.strip():
         return []
@@ -64,26 +68,34 @@ def walk(column: str, text: str | None, lists: frozenset[str]) -> list[tuple]:
             out[close][5] = post
             post += 1
             continue
-        if position is None:
-            members = _as_list(value) if name in lists else (value if isinstance(value, list) else None)
-            if members is not None:
-                stack.extend((m, f"{path}[{i}]", name, i, depth, None) for i, m in reversed(list(enumerate(members))) if isinstance(m, (dict, list)))
-                continue
-        elif isinstance(value, list):
-            stack.extend((m, f"{path}[{i}]", name, i, depth, None) for i, m in reversed(list(enumerate(value))) if isinstance(m, (dict, list)))
-            continue
-        if isinstance(value, dict):
+        members = value if position is not None and isinstance(value, list) else _as_list(value) if position is None and name in lists else value if isinstance(value, list) else None
+        if members == [] and position is not None and every:
+            out.append([name, path, position, depth, len(out), post, value, VALUE])
+            post += 1
+        elif members is not None:
+            stack.extend((m, f"{path}[{i}]", name, i, depth, None) for i, m in reversed(list(enumerate(members))) if every or isinstance(m, (dict, list)))
+        elif isinstance(value, dict):
             inner = depth
-            if position is not None:
-                out.append([name, path, position, depth, len(out), -1, value])
+            if position is not None or (every and path != column):
+                out.append([name, path, position, depth, len(out), -1, value, LONE if position is None else LISTED])
                 stack.append((None, "", "", None, 0, len(out) - 1))
                 inner = depth + 1
             for k, v in reversed(list(value.items())):
                 if isinstance(v, (dict, list)) or (k in lists and isinstance(v, str)):
                     stack.append((v, f"{path}.{k}", k, None, inner, None))
+        elif position is not None:
+            out.append([name, path, position, depth, len(out), post, value, VALUE])
+            post += 1
     return [tuple(x) for x in out]
 
 
+def _scalars(value: dict, lists: frozenset[str]) -> str:
+    """An object's members that have no node of their own, as JSON: scalars, and lists without members."""
+    own = {k: v for k, v in value.items() if not isinstance(v, (dict, list)) and not (k in lists and _as_list(v))}
+    own |= {k: [] for k, v in value.items() if (k in lists or isinstance(v, list)) and _as_list(v) == []}
+    return json.dumps(own, ensure_ascii=False, separators=(",", ":"))
+
+
 def _own(value: dict, lists: frozenset[str]) -> str:
     """All of an object but the listed objects in it, which have rows of their own, as JSON.
 
@@ -113,32 +125,42 @@ def _own(value: dict, lists: frozenset[str]) -> str:
     return json.dumps(top, ensure_ascii=False, separators=(",", ":"))
 
 
-def label_nodes(records: DataFrame, table_name: str, root_key: str, column: str, *, bodies: bool = True, list_members: Sequence[str] = LIST_MEMBERS) -> DataFrame:
-    """One labelled row per listed object in `records[column]` (JSON text, or an array / struct column).
+def label_nodes(records: DataFrame, table_name: str, root_key: str, column: str, *, bodies: bool = True, list_members: Sequence[str] = LIST_MEMBERS, every: bool = False) -> DataFrame:
+    """One labelled row per listed object in `records[column]` (JSON text, or an array / struct column); with `every`, one per node.
 
-    Columns: NODE_SCHEMA; `body` holds all of the object but the listed objects in it, as JSON (null when bodies=False). Records must be one per key. Null keys
-    are kept as null. Columns of `records` other than the two named are ignored, so clashing names do no harm.
+    Columns: NODE_SCHEMA, and with `every` role (listed, lone or value). `body` holds all of a listed object but the listed objects in it, as
+    JSON; with `every` what has no node of its own: an object's scalars and empty lists, or the scalar itself, so that a record can be put
+    together again from its rows. It is null when bodies=False. Records must be one per key. Null keys are kept as null. Columns of `records`
+    other than the two named are ignored, so clashing names do no harm.
     """
     lists = frozenset(list_members)
     is_text = dict(records.dtypes)[column] == "string"
     doc = F.col(column) if is_text else F.to_json(F.col(column))
     source = records.select(F.col(root_key).cast("string").alias("root_key"), doc.alias("doc")).filter(F.col("doc").isNotNull())
-    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-    names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
+    schema = NODE_SCHEMA + (", role string" if every else "")
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()] + [pa.string()] * every
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def body(value, role: str) -> str | None:
+        if not bodies:
+            return None
+        if role == VALUE:
+            return json.dumps(value, ensure_ascii=False)
+        return _scalars(value, lists) if every else _own(value, lists)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind, path, position, depth, pre, post, value in walk(column, text, lists):
-                    rows.append((table_name, key, kind, path, position, depth, pre, post, _own(value, lists) if bodies else None))
+                for kind, path, position, depth, pre, post, value, role in walk(column, text, lists, every):
+                    rows.append((table_name, key, kind, path, position, depth, pre, post, body(value, role)) + ((role,) if every else ()))
                 if len(rows) >= 20_000:
                     yield _batch(rows, names, types)
                     rows = []
             if rows:
                 yield _batch(rows, names, types)
 
-    return source.mapInArrow(run, NODE_SCHEMA)
+    return source.mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -147,17 +169,17 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def link_by_containment(nodes: DataFrame) -> DataFrame:
-    """Adds parent_kind, parent_path, parent_pre, parent_post of the innermost listed object that holds each row (null for the outermost).
+    """Adds parent_kind, parent_path, parent_pre, parent_post of the innermost labelled object that holds each row (null for the outermost).
 
-    Intervals nest or are disjoint, so the holder of a node at depth d is the last node of depth d - 1 opened before it in pre-order. Each
-    node enters the window of its own level as a holder and that of the level above as a held row; one window per record and level links
+    Intervals nest or are disjoint, so only the last node of depth d - 1 opened before a node of depth d in pre-order can hold it; it does so if
+    its post-order number is the greater one, which is tested. Each node enters the window of its own level as a holder and that of the level above as a held row; one window per record and level links
     them, with no join and no pairs of nodes, and a huge record is spread over its levels.
     """
     role = F.explode(F.array(F.struct(F.col("depth").alias("level"), F.lit(False).alias("held")), F.struct((F.col("depth") - 1).alias("level"), F.lit(True).alias("held"))))
     w = Window.partitionBy("table_name", "root_key", "level").orderBy("pre", "held").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = nodes.withColumn("_r", role).select(*nodes.columns, "_r.level", "_r.held")
     holder = F.last(F.when(~F.col("held"), F.struct("kind", "node_path", "pre", "post")), ignorenulls=True).over(w)
-    linked = both.withColumn("_h", holder).filter("held")
+    linked = both.withColumn("_h", holder).filter("held").withColumn("_h", F.when(F.col("_h.post") > F.col("post"), F.col("_h")))
     return linked.select(*nodes.columns, *[F.col(f"_h.{a}").alias(b) for a, b in (("kind", "parent_kind"), ("node_path", "parent_path"), ("pre", "parent_pre"), ("post", "parent_post"))])
 
 
