@@ -18,14 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Units below 2**MANTISSA_BITS have a bucket each; above, each doubling has 2**(MANTISSA_BITS - 1) buckets.
-MANTISSA_BITS = 14
-#: Enough for every value of a signed 64-bit integer under that rule.
+MANTISSA_BITS = 11
+#: More than enough for every value of a signed 64-bit integer under that rule.
 UNIVERSE_BITS = 20
 #: The bucket of the largest value, 2**62 - 1; the universe has some room above it.
 TOP_BUCKET = ((1 << MANTISSA_BITS) - 1) + (62 - MANTISSA_BITS) * (1 << (MANTISSA_BITS - 1))
-#: Larger keeps more nodes (at most 3 * compression a digest) and a smaller rank error; this one bounds it by 0.02 % of n, so that even the
-#: 99.9th percentile is told from the maximum.
-COMPRESSION = 100_000
+#: Larger keeps more nodes (at most 3 * compression a digest) and a smaller rank error; this one bounds it by 0.1 % of n.
+COMPRESSION = 20_000
 
 
 def bucket(units: Column) -> Column:
@@ -169,3 +168,13 @@ def percentiles(digests: DataFrame, keys: Sequence[str], quantiles: Sequence[flo
     reached = wanted.filter(F.col("upto") >= F.greatest(F.ceil(F.col("quantile") * F.col("n")), F.lit(1)))
     found = reached.groupBy(*keys, "n", "quantile").agg(F.min("right").alias("right"))
     return found.select(*keys, "quantile", "n", bucket_low(F.col("right")).alias("units"), (F.lit(UNIVERSE_BITS) * F.floor(F.col("n") / compression)).alias("rank_error_bound"))
+
+
+def packed(digests: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per digest: keys, n, and its nodes with their counts as an array (bounded by 3 * compression), for storing and sending on."""
+    return digests.groupBy(*keys).agg(F.sum("count").alias("n"), F.array_sort(F.collect_list(F.struct("node", "count"))).alias("nodes"))
+
+
+def unpacked(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The digests of `packed` as rows: keys, node, count."""
+    return stored.select(*keys, F.inline("nodes"))

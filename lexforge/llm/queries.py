@@ -44,30 +44,45 @@ def _measures(spark: SparkSession, folder: str) -> DataFrame:
     return requests.select(family.alias("legal_family"), F.to_date("recorded_at").alias("day"), each.alias("m")).select("m.metric", "legal_family", "day", "m.units").filter("units IS NOT NULL")
 
 
+_P4_KEYS = ["metric", "legal_family"]
+
+
 def p4_daily_digests(spark: SparkSession, folder: str) -> DataFrame:
-    return quantiles.digest(_measures(spark, folder), ["metric", "legal_family", "day"], "units")
+    """One row per metric, family and day: the day's digest, to be kept and put together with others."""
+    by = [*_P4_KEYS, "day"]
+    return quantiles.packed(quantiles.digest(_measures(spark, folder), by, "units"), by)
+
+
+def _p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles from the daily digests put together."""
+    days = quantiles.unpacked(p4_daily_digests(spark, folder), _P4_KEYS)
+    return quantiles.percentiles(quantiles.merge(days, _P4_KEYS), _P4_KEYS, QUANTILES)
 
 
 def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    total = quantiles.merge(p4_daily_digests(spark, folder), ["metric", "legal_family"])
-    found = quantiles.percentiles(total, ["metric", "legal_family"], QUANTILES)
     value = F.when(F.col("metric") == "cost_usd", F.col("units") / 1e6).otherwise(F.col("units").cast("double"))
-    return found.select("metric", "legal_family", "quantile", "n", value.alias("value"), "rank_error_bound")
+    return _p4_found(spark, folder).select(*_P4_KEYS, "quantile", "n", value.alias("value"), "rank_error_bound")
 
 
 def p4_error_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Each percentile's bucket against the exact ranks: whether the wanted rank lies within the stated bound of the bucket's ranks."""
-    keys = ["metric", "legal_family"]
-    measures = cut(_measures(spark, folder).select(*keys, "units"), "p4-measures")
-    found = quantiles.percentiles(quantiles.digest(measures, keys, "units"), keys, QUANTILES)
-    found = found.withColumn("bucket", quantiles.bucket(F.col("units")))
+    """Each percentile of the daily digests against exact ranks: the exact percentile's bucket (its least number of units), and whether the
+    wanted rank lies within the stated bound of the ranks of the bucket that was returned."""
+    found = _p4_found(spark, folder).withColumn("bucket", quantiles.bucket(F.col("units")))
     # exact ranks of each bucket, from counts per bucket
-    buckets = measures.groupBy(*keys, quantiles.bucket(F.col("units")).alias("bucket")).agg(F.count("*").alias("c"))
-    ranks = buckets.withColumn("last", F.sum("c").over(Window.partitionBy(*keys).orderBy("bucket")))
-    below = found.join(ranks, keys).groupBy(*keys, "quantile", found.n, "rank_error_bound").agg(F.max(F.when(ranks.bucket < found.bucket, F.col("last"))).alias("low"), F.max(F.when(ranks.bucket <= found.bucket, F.col("last"))).alias("high"))
+    buckets = _measures(spark, folder).groupBy(*_P4_KEYS, quantiles.bucket(F.col("units")).alias("bucket")).agg(F.count("*").alias("c"))
+    ranks = buckets.withColumn("last", F.sum("c").over(Window.partitionBy(*_P4_KEYS).orderBy("bucket")))
     wanted = F.greatest(F.ceil(F.col("quantile") * F.col("n")), F.lit(1))
+    below = (
+        found.join(ranks, _P4_KEYS)
+        .groupBy(*_P4_KEYS, "quantile", found.n, "rank_error_bound")
+        .agg(
+            F.max(F.when(ranks.bucket < found.bucket, F.col("last"))).alias("low"),
+            F.max(F.when(ranks.bucket <= found.bucket, F.col("last"))).alias("high"),
+            F.min(F.when(F.col("last") >= wanted, ranks.bucket)).alias("exact"),
+        )
+    )
     within = (wanted >= F.coalesce("low", F.lit(0)) + 1 - F.col("rank_error_bound")) & (wanted <= F.coalesce("high", F.lit(0)) + F.col("rank_error_bound"))
-    return below.select(*keys, "quantile", "n", within.alias("within_bound"))
+    return below.select(*_P4_KEYS, "quantile", "n", quantiles.bucket_low(F.col("exact")).alias("exact_units"), within.alias("within_bound"))
 
 
 def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
