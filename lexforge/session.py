@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +26,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a new temporary one."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Only a local session (one machine) may do without: a temporary folder takes its place. On a cluster an unset folder is an error, since a
+    machine's own disk would hold a part of each result.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="lexforge-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lexforge-shared-")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -48,3 +59,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(written: DataFrame) -> None:
+    """Deletes what `cut` wrote, for loops that write anew each round: nothing may read it any more."""
+    spark = written.sparkSession
+    for file in written.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
