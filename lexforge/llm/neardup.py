@@ -11,16 +11,17 @@ A pair of similarity s is a candidate with probability 1 - (1 - s**ROWS)**BANDS:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.shingles import mix, shingle_hashes
-from lexforge.session import cut
+from lexforge.session import cut, release
 
 ROWS = 5
 BANDS = 45
@@ -84,8 +85,9 @@ def _pieces(lengths: Iterable[int]) -> Iterator[tuple[int, int]]:
         yield start, i + 1
 
 
-def _salt(names: list[str]) -> np.ndarray:
-    known = {n: np.uint64(int.from_bytes(n.encode()[:8].ljust(8, b"\0"), "little") ^ len(n)) for n in set(names)}
+def _salt(names: list[str | None]) -> np.ndarray:
+    """A hash of each collection's whole name; null is a collection of its own."""
+    known = {n: np.uint64(int.from_bytes(hashlib.blake2b(b"" if n is None else b"n" + n.encode(), digest_size=8).digest(), "little")) for n in set(names)}
     return mix(np.array([known[n] for n in names], np.uint64))
 
 
@@ -133,9 +135,20 @@ def band_keys(records: DataFrame, width: int, rows: int = ROWS, bands: int = BAN
     return records.select("collection", "text").filter(F.col("text").isNotNull()).mapInArrow(run, "band bigint, class bigint")
 
 
+def shared(keys: DataFrame) -> DataFrame:
+    """The rows of bands that several classes have, with the smallest of them as `hub`: most bands are of one class and end here.
+
+    The window and the join of `candidates` need the same partitioning, so bands are shuffled once.
+    """
+    w = Window.partitionBy("band")
+    marked = keys.withColumns({"hub": F.min("class").over(w), "_last": F.max("class").over(w)})
+    return marked.filter(F.col("hub") != F.col("_last")).drop("_last")
+
+
 def candidates(keys: DataFrame) -> DataFrame:
     """Distinct pairs (class_a < class_b) of classes that share a band. Bands are joined by key; skewed bands are split by AQE."""
-    a, b = keys.select("band", F.col("class").alias("class_a")), keys.select("band", F.col("class").alias("class_b"))
+    held = shared(keys)
+    a, b = held.select("band", F.col("class").alias("class_a")), held.select("band", F.col("class").alias("class_b"))
     return a.join(b, "band").filter("class_a < class_b").select("class_a", "class_b").distinct()
 
 
@@ -166,13 +179,17 @@ def _with_class(records: DataFrame, width: int) -> DataFrame:
     return found.withColumn("class", F.explode(F.filter(F.array("_c"), lambda c: c.isNotNull()))).drop("_c")
 
 
-def alike_classes(records: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Verified pairs of classes: class_a, class_b, similarity (at least `threshold`)."""
-    found = candidates(band_keys(records, width))
+def verified(pairs: DataFrame, records: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (class_a, class_b) whose similarity on whole shingle sets is at least `threshold`, with it."""
     one = _with_class(records, width).groupBy("class").agg(F.min("text").alias("text"))
     a, b = one.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), one.select(F.col("class").alias("class_b"), F.col("text").alias("text_b"))
-    pairs = found.join(a, "class_a").join(b, "class_b")
-    return pairs.select("class_a", "class_b", jaccard(F.col("text_a"), F.col("text_b"), width).alias("similarity")).filter(F.col("similarity") >= threshold)
+    both = pairs.join(a, "class_a").join(b, "class_b")
+    return both.select("class_a", "class_b", jaccard(F.col("text_a"), F.col("text_b"), width).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def alike_classes(records: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Verified pairs of classes: class_a, class_b, similarity (at least `threshold`)."""
+    return verified(candidates(band_keys(records, width)), records, width, threshold)
 
 
 def members(records: DataFrame, width: int) -> DataFrame:
@@ -190,19 +207,20 @@ def alike_pairs(records: DataFrame, width: int, threshold: float) -> DataFrame:
     m = members(records, width)
     within = m.groupBy("class").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
     links = alike_classes(records, width, threshold).select("class_a", "class_b").union(within)
-    a, b = m.select("collection", F.col("class").alias("class_a"), F.col("id").alias("a")), m.select(F.col("class").alias("class_b"), F.col("id").alias("b"))
-    pairs = links.join(a, "class_a").join(b, "class_b").filter((F.col("class_a") != F.col("class_b")) | (F.col("a") < F.col("b")))
+    a, b = m.select("collection", F.col("class").alias("class_a"), F.col("id").alias("a")), m.select(F.col("collection").alias("_c"), F.col("class").alias("class_b"), F.col("id").alias("b"))
+    pairs = links.join(a, "class_a").join(b, "class_b").filter(F.col("collection").eqNullSafe(F.col("_c"))).filter((F.col("class_a") != F.col("class_b")) | (F.col("a") < F.col("b")))
     return pairs.select("collection", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).filter("id_a < id_b")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of (a, b) is connected with, by alternating star contraction.
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest; the edges stay few and are written to the
-    shared folder, so lineage stays short. Ends when nothing changes (about log n rounds).
+    shared folder, so lineage stays short, and those of the round before are deleted. Goes on until nothing changes, however long the chains
+    are (about log n rounds).
     """
     edges = cut(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -211,15 +229,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = down.join(low, "a").select(F.col("b").alias("a"), "m").union(low.select("a", "m")).filter("a <> m").select("a", F.col("m").alias("b")).distinct()
         new = cut(small, "edges")
         changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(new, ["a", "b"], "left_anti").limit(1).count()
+        release(edges)
         edges = new
         if not changed:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+
+
+def linked_classes(records: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(node, root) of classes that any number of links connects.
+
+    First each class of a band is held against the band's smallest class alone, as many pairs as rows. Then only classes of one band that are
+    not yet connected are held against each other: no link between different components is lost, and a large group costs no square of it.
+    """
+    keys = cut(shared(band_keys(records, width)), "bands")
+    star = keys.filter("class <> hub").select(F.col("hub").alias("class_a"), F.col("class").alias("class_b")).distinct()
+    links = cut(verified(star, records, width, threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), "links")
+    first = components(links)
+    placed = keys.join(first.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("root", "class").alias("root"))
+    w = Window.partitionBy("band")
+    open_ = placed.withColumns({"_low": F.min("root").over(w), "_high": F.max("root").over(w)}).filter("_low <> _high")
+    x, y = open_.select("band", F.col("class").alias("class_a"), F.col("root").alias("root_a")), open_.select("band", F.col("class").alias("class_b"), F.col("root").alias("root_b"))
+    rest = x.join(y, "band").filter("class_a < class_b AND root_a <> root_b").select("class_a", "class_b").distinct().join(star, ["class_a", "class_b"], "left_anti")
+    more = verified(rest, records, width, threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def groups(records: DataFrame, width: int, threshold: float) -> DataFrame:
     """One row per record with shingles: collection, id, class, group (the smallest class it is linked with, over any number of links)."""
     m = members(records, width)
-    links = alike_classes(records, width, threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    roots = components(links)
+    roots = linked_classes(records, width, threshold)
     return m.join(roots.withColumnRenamed("node", "class"), "class", "left").select("collection", "id", "class", F.coalesce("root", "class").alias("group"))
