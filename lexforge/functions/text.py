@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
 
 #: Words that carry no meaning in a question.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "had", "has", "have", "how", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "what", "when", "where", "which", "who", "will", "with")
+STOP_WORDS = ("the", "a", "an", "is", "are", "what", "how", "when", "where", "why", "under", "for", "to", "of", "in", "on", "and", "or")
 
 
 def whitespace_tokens(text: Column) -> Column:
@@ -54,14 +54,18 @@ def paragraphs(text: Column) -> Column:
 
 
 def query_terms(text: Column) -> Column:
-    """Distinct lower-case words of two characters or more that aren't stop words, in order."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]{2,}"), F.lit(0))
+    """Distinct lower-case words of letters and digits (a-z, 0-9) that aren't stop words, in order."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
     return F.filter(F.array_distinct(words), lambda w: ~w.isin(*STOP_WORDS))
 
 
+#: The forms of references to sections, rules and statutes.
+REFERENCES = (r"(?i)\bSection\s+[\w.\-()]+", r"(?i)\bRule\s+[\w.\-()]+", r"(?i)\b\d+\s+U\.S\.C\.\s+§+\s*[\w.\-()]+")
+
+
 def legal_references(text: Column) -> Column:
-    """Section, article, clause, rule and statute references, as written."""
-    return F.regexp_extract_all(text, F.lit(r"\b(?:Section|Article|Clause|clause|Rule|Schedule|Exhibit)\s+[A-Z0-9][A-Za-z0-9.-]*[A-Za-z0-9]|\b\d+\s+U\.S\.C\.\s+\d+"), F.lit(0))
+    """Section, rule and statute references as written, those of each form in order, one form after the other."""
+    return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(r), F.lit(0)) for r in REFERENCES]))
 
 
 def dates(text: Column) -> Column:

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import paragraphs
+from lexforge.functions.text import paragraphs, whitespace_tokens
 
-#: Words that make a paragraph important, and qualifiers that must not be lost.
-KEYWORDS = ("shall", "terminate", "liability", "notice", "payment", "agreement")
-QUALIFIERS = ("except", "unless", "subject to", "provided that", "notwithstanding")
+# What makes a paragraph important, and the qualifiers that must not be lost.
+KEYWORDS = (
+    "shall", "must", "may not", "except", "unless", "subject to", "provided that", "termination", "liability", "confidential", "confidentiality", "governing law", "jurisdiction", "indemn", "remedy", "damages", "breach", "means",
+    "defined as", "definition",
+)
+QUALIFIERS = (
+    r"(?i)\b(unless|except|subject to|provided that|notwithstanding|only if|conditioned upon)\b",
+    r"(?i)\b(shall not|may not|is not liable|limitation of liability)\b",
+)
+DATED = r"\b\d{1,2}\b|\b(january|february|march|april|may|june|july|august|september|october|november|december)\b"
+SHORT_WORDS, SMALL_CHARS, MEDIUM_CHARS, MEDIUM_RATIO, LARGE_RATIO = 35, 900, 2200, 0.75, 0.6
 
 
 def evidence_units(parents: DataFrame) -> DataFrame:
@@ -19,33 +27,49 @@ def evidence_units(parents: DataFrame) -> DataFrame:
 
 
 def importance(text: Column) -> Column:
-    """length / 80 up to 1, 0.35 for each keyword, 0.2 for a number, 0.5 for a short paragraph with a qualifier."""
+    """words / 80 up to 1, 0.35 for each keyword, 0.4 for a definition, 0.2 for a day or month, 0.5 for a short paragraph with a qualifier."""
     low = F.lower(text)
-    score = F.least(F.length(text) / 80.0, F.lit(1.0))
+    words = F.size(whitespace_tokens(text))
+    score = F.least(words / 80.0, F.lit(1.0))
     for word in KEYWORDS:
         score = score + F.when(F.contains(low, F.lit(word)), 0.35).otherwise(0.0)
-    score = score + F.when(text.rlike("[0-9]"), 0.2).otherwise(0.0)
-    return F.round(score + F.when((F.length(text) < 160) & qualified(text), 0.5).otherwise(0.0), 6)
+    score = score + F.when(F.contains(F.concat(F.lit(" "), low, F.lit(" ")), F.lit(" means ")) | F.contains(low, F.lit("defined as")), 0.4).otherwise(0.0)
+    score = score + F.when(low.rlike(DATED), 0.2).otherwise(0.0)
+    return F.round(score + F.when((words <= SHORT_WORDS) & qualified(text), 0.5).otherwise(0.0), 6)
 
 
 def qualified(text: Column) -> Column:
-    hit = F.lit(False)
-    for word in QUALIFIERS:
-        hit = hit | F.contains(F.lower(text), F.lit(word))
-    return hit
+    return text.rlike(QUALIFIERS[0]) | text.rlike(QUALIFIERS[1])
 
 
-def compress(units: DataFrame, target: int = 600) -> DataFrame:
-    """The units kept of each parent: the first and every qualified one, then the most important while they fit in `target` characters.
+def compress(parents: DataFrame) -> DataFrame:
+    """One row per paragraph of (parent_chunk_id, text): position, evidence_text, score, kept, and the parent's original and compressed length.
 
-    A paragraph counts its length and two for the separator. The greedy stop is a running sum over the ranking; at least one ranked unit is
-    kept. Ties go by position.
+    A text of up to SMALL_CHARS characters or of one paragraph is kept whole. Of a longer one the first paragraph and every qualified one are
+    kept, then the most important ones until the kept text, joined by blank lines, has its share of the original length (MEDIUM_RATIO, or
+    LARGE_RATIO above MEDIUM_CHARS characters; SMALL_CHARS at least); the one that reaches it is kept too. The greedy stop is a running sum over
+    the ranking, ties go by position. A result no shorter than the original is the original. Null and blank texts have no paragraph.
     """
-    scored = units.withColumns({"score": importance(F.col("evidence_text")), "must": (F.col("position") == 0) | qualified(F.col("evidence_text")), "size": F.length("evidence_text") + 2})
+    p = parents.withColumn("original_chars", F.length("text")).select("parent_chunk_id", "original_chars", F.posexplode(paragraphs(F.col("text"))).alias("position", "evidence_text"))
+    scored = p.withColumns({"score": importance(F.col("evidence_text")), "must": (F.col("position") == 0) | qualified(F.col("evidence_text")), "size": F.length("evidence_text") + 2})
     of = Window.partitionBy("parent_chunk_id")
-    rank = Window.partitionBy("parent_chunk_id", "must").orderBy(F.desc("score"), "position")
-    sized = scored.withColumns({"held": F.sum(F.when(F.col("must"), F.col("size")).otherwise(0)).over(of), "before": F.coalesce(F.sum("size").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "place": F.row_number().over(rank)})
-    return sized.withColumn("kept", F.col("must") | (F.col("place") == 1) | (F.col("held") + F.col("before") + F.col("size") <= target))
+    rank = of.orderBy(F.desc("score"), "position")
+    extra = F.when(F.col("must"), 0).otherwise(F.col("size"))
+    sized = scored.withColumns(
+        {
+            "held": F.sum(F.when(F.col("must"), F.col("size")).otherwise(0)).over(of),
+            "before": F.coalesce(F.sum(extra).over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "place": F.row_number().over(rank),
+            "of": F.count("*").over(of),
+        }
+    )
+    ratio = F.when(F.col("original_chars") > MEDIUM_CHARS, LARGE_RATIO).otherwise(MEDIUM_RATIO)
+    target = F.greatest(F.floor(F.col("original_chars") * ratio), F.lit(SMALL_CHARS))
+    whole = (F.col("original_chars") <= SMALL_CHARS) | (F.col("of") == 1)
+    chosen = sized.withColumn("kept", whole | F.col("must") | (F.col("place") == 1) | (F.col("held") + F.col("before") - 2 < target))
+    joined = F.sum(F.when(F.col("kept"), F.col("size")).otherwise(0)).over(of) - 2
+    chosen = chosen.withColumn("compressed_chars", F.when(whole | (joined >= F.col("original_chars")), F.col("original_chars")).otherwise(joined))
+    return chosen.select("parent_chunk_id", "position", "evidence_text", "score", "kept", "original_chars", "compressed_chars")
 
 
 def trace_status(spans: DataFrame, *keys: str) -> DataFrame:

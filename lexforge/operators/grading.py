@@ -13,6 +13,23 @@ def hit_at_k(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 1
     return queries.select("query_id", "best_rank", *[F.coalesce(F.col("best_rank") <= k, F.lit(False)).cast("int").alias(f"hit_at_{k}") for k in ks])
 
 
+def retrieval_rollup(graded: DataFrame, by: str, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """Per group of graded queries (`hit_at_k` with `by`, and optionally parent_recall and wrong_share): cases, pass rate (any gold id was
+    found), mean recall at each k (any match counts 1), mean, exact median and count of the best ranks, and the means of the optional columns.
+    Nulls are in no mean; a group without ranks has null mean and median.
+    """
+    optional = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("parent_recall", "wrong_share") if c in graded.columns]
+    return graded.groupBy(by).agg(
+        F.count("*").alias("cases"),
+        F.round(F.avg(F.col("best_rank").isNotNull().cast("int")), 6).alias("pass_rate"),
+        *[F.round(F.avg(f"hit_at_{k}"), 6).alias(f"recall_at_{k}") for k in ks],
+        F.round(F.avg("best_rank"), 6).alias("mean_rank"),
+        F.percentile("best_rank", F.lit(0.5)).alias("median_rank"),
+        F.count("best_rank").alias("ranked"),
+        *optional,
+    )
+
+
 def cited(citations: Column, field: str) -> Column:
     """The distinct non-empty values of a member of the citations."""
     return F.array_distinct(F.filter(F.transform(F.filter(citations, lambda c: c.isNotNull()), lambda c: c[field]), lambda x: x.isNotNull() & (x != "")))

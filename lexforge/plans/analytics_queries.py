@@ -94,9 +94,9 @@ def top_failing_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def failure_breakdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Failed checks by name and family, and runner failures as a check of their own."""
+    """Failed checks by name and family. A runner that failed counts twice: as a reason of its case, and by itself."""
     failed = F.map_keys(F.map_filter("checks", lambda _, v: ~v))
-    reasons = F.concat(failed, F.when(F.col("runner_status") != "ok", F.array(F.lit("runner"))).otherwise(F.array().cast("array<string>")))
+    reasons = F.concat(failed, F.when(F.col("runner_status") != "ok", F.array(F.lit("runner"), F.lit("runner"))).otherwise(F.array().cast("array<string>")))
     return _cases(spark, folder).select("family", F.explode(reasons).alias("reason")).groupBy("family", "reason").agg(F.count("*").alias("failures"))
 
 
@@ -161,14 +161,27 @@ def review_to_requests(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(traffic, "trace_id", "left").groupBy("category").agg(F.count("*").alias("items"), F.count("requests").alias("traced"), F.sum("requests").alias("requests"), F.max("slowest_ms").alias("slowest_ms"))
 
 
-def embedding_hit_at_k(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense search graded by label: gold are the other vectors of the query's label."""
+def _embedding_grades(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     queries = v.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector", "label")
-    others = retrieval.cosine(v, queries.select("query_id", "vector"), 11).filter("query_id <> id").drop("rank")
-    hits = cut(retrieval.top_k(others, 10, [F.desc("score"), F.asc("id")]), "hits")  # ranked again without the query's own vector
-    gold = queries.select("query_id", "label").join(v.select("id", "label"), "label").filter("query_id <> id").select("query_id", "id")
-    return grading.hit_at_k(hits, gold)
+    others = retrieval.cosine(v.select("id", "vector"), queries.select("query_id", "vector"), 11).filter("query_id <> id").drop("rank")
+    hits = retrieval.top_k(others, 10, [F.desc("score"), F.asc("id")])  # ranked again without the query's own vector
+    # a hit is gold if it has the query's label: two joins by id, not one by label
+    marked = hits.join(v.select("id", F.col("label").alias("hit_label")), "id").join(queries.select("query_id", "label"), "query_id")
+    own = F.col("label") == F.col("hit_label")
+    found = marked.groupBy("query_id").agg(F.min(F.when(own, F.col("rank"))).alias("best_rank"), F.avg(F.when(own, 0.0).otherwise(1.0)).alias("wrong_share"))
+    graded = queries.select("query_id", "label").join(found, "query_id", "left")
+    return graded.select("query_id", "label", "best_rank", "wrong_share", *[F.coalesce(F.col("best_rank") <= k, F.lit(False)).cast("int").alias(f"hit_at_{k}") for k in (1, 3, 5, 10)])
+
+
+def embedding_hit_at_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Dense search graded by label: gold are the other vectors of the query's label."""
+    return _embedding_grades(spark, folder).drop("label", "wrong_share")
+
+
+def embedding_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """The grades by label: recall at k, ranks and the share of hits with another label."""
+    return grading.retrieval_rollup(_embedding_grades(spark, folder), "label")
 
 
 def prior_values(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,12 +200,16 @@ QUERIES = {
     f.__name__: f
     for f in (
         metrics_rollup, metrics_by_family_and_type, p95_nearest_rank, p50_p95_floor_rank, daily_latency_windows, version_comparison, duplicate_requests, sampling_reasons, family_pass_rates, run_trends,
-        top_failing_runs, failure_breakdown, routing_confusion, run_gate, citation_checks, citation_rollup, cited_parents_missing, queue_status_overlay, queue_upsert, review_to_requests, embedding_hit_at_k,
+        top_failing_runs, failure_breakdown, routing_confusion, run_gate, citation_checks, citation_rollup, cited_parents_missing, queue_status_overlay, queue_upsert, review_to_requests, embedding_hit_at_k, embedding_rollup,
         prior_values, user_sessions,
     )
 }
 
 _REQ = "req AS (SELECT * FROM request_metrics QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY received_at) = 1)"
+_HITS = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a, label FROM embeddings WHERE vec_id % 100 = 0),
+ h AS (SELECT query_id, q.label AS ql, v.label AS l, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM q, embeddings v WHERE query_id <> v.vec_id),
+ b AS (SELECT query_id, ql AS label, min(rank) FILTER (WHERE ql = l) AS best_rank, avg((ql <> l)::INT) AS wrong_share FROM h WHERE rank <= 10 GROUP BY ALL),
+ g AS (SELECT *, coalesce(best_rank <= 1, false)::INT AS hit_at_1, coalesce(best_rank <= 3, false)::INT AS hit_at_3, coalesce(best_rank <= 5, false)::INT AS hit_at_5, coalesce(best_rank <= 10, false)::INT AS hit_at_10 FROM b)"""
 _UNKNOWN = "coalesce(nullif({0}, ''), 'unknown')"
 _ROLLUP = """count(*) AS requests, round(avg(coalesce(grounded_answer, 0)), 6) AS grounded_rate, round(avg(coalesce(insufficient_answer, 0)), 6) AS insufficient_rate,
  round(avg(coalesce(false_confident_proxy, 0)), 6) AS false_confident_rate, round(avg(coalesce(family_route_present, 0)), 6) AS route_rate,
@@ -236,7 +253,7 @@ SQL = {
     "family_pass_rates": f"WITH {_CASES} SELECT family, count(*) AS cases, sum(passed::INT)::BIGINT AS passed, (count(*) - sum(passed::INT))::BIGINT AS failed, round(avg(passed::INT), 6) AS pass_rate FROM cases GROUP BY family",
     "run_trends": f"WITH {_CASES} SELECT source_path, count(*) AS cases, sum(passed::INT)::BIGINT AS passed, round(avg(latency_ms), 6) AS mean_latency_ms, round(avg(cost_usd), 6) AS mean_cost_usd, round(avg(grounded::INT), 6) AS grounded_rate FROM cases GROUP BY source_path",
     "top_failing_runs": f"WITH {_CASES} SELECT source_path, count(*) AS cases, sum(passed::INT)::BIGINT AS passed, (count(*) - sum(passed::INT))::BIGINT AS failed, round(avg(passed::INT), 6) AS pass_rate FROM cases GROUP BY source_path HAVING failed > 0 ORDER BY failed DESC, pass_rate, source_path LIMIT 10",
-    "failure_breakdown": f"WITH {_CASES} SELECT family, reason, count(*) AS failures FROM (SELECT family, unnest(list_concat(failing, CASE WHEN runner_status <> 'ok' THEN ['runner'] ELSE [] END)) AS reason FROM cases) GROUP BY family, reason",
+    "failure_breakdown": f"WITH {_CASES} SELECT family, reason, count(*) AS failures FROM (SELECT family, unnest(list_concat(failing, CASE WHEN runner_status <> 'ok' THEN ['runner', 'runner'] ELSE [] END)) AS reason FROM cases) GROUP BY family, reason",
     "routing_confusion": f"""WITH {_CASES}, {_ITEMS}, k AS (SELECT source_path, case_id, min(family) AS case_family FROM cases WHERE case_id IS NOT NULL GROUP BY 1, 2)
         SELECT coalesce(case_family, 'unresolved') AS expected, {_UNKNOWN.format('i.family')} AS observed, count(*) AS items FROM items i LEFT JOIN k ON k.source_path = i.run_file AND k.case_id = substr(i.source_id, length(i.run_id) + 2) WHERE i.run_file IS NOT NULL GROUP BY 1, 2""",
     "run_gate": f"WITH {_CASES} SELECT source_path, count(*) AS cases, round(avg(passed::INT), 6) AS pass_rate, count(*) FILTER (WHERE coalesce(runner_status <> 'ok', true)) AS runner_failures, round(avg(passed::INT), 6) >= 0.6 AND count(*) FILTER (WHERE coalesce(runner_status <> 'ok', true)) <= 0 AS gate_passed FROM cases GROUP BY source_path",
@@ -246,8 +263,9 @@ SQL = {
     "queue_status_overlay": f"WITH {_ITEMS}, l AS (SELECT review_item_id, review_status FROM review_queue QUALIFY row_number() OVER (PARTITION BY review_item_id ORDER BY exported_at DESC, review_status DESC) = 1) SELECT category, CASE WHEN l.review_status IN {_KNOWN} THEN l.review_status ELSE 'pending_review' END AS review_status, count(*) AS items FROM items LEFT JOIN l USING (review_item_id) GROUP BY 1, 2",
     "queue_upsert": "SELECT category, review_status, count(*) AS items FROM (SELECT * FROM review_queue WHERE exported_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY review_item_id ORDER BY exported_at DESC, review_status DESC) = 1) GROUP BY 1, 2",
     "review_to_requests": f"WITH {_REQ}, {_ITEMS}, t AS (SELECT trace_id, count(*) AS requests, max(latency_ms) AS slowest_ms FROM req WHERE trace_id IS NOT NULL GROUP BY 1) SELECT category, count(*) AS items, count(requests) AS traced, sum(requests)::BIGINT AS requests, max(slowest_ms) AS slowest_ms FROM items LEFT JOIN t USING (trace_id) WHERE trace_id IS NOT NULL GROUP BY category",
-    "embedding_hit_at_k": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a, label FROM embeddings WHERE vec_id % 100 = 0), h AS (SELECT query_id, id, ql, l, rank FROM (SELECT query_id, v.vec_id AS id, q.label AS ql, v.label AS l, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM q, embeddings v) WHERE rank <= 11 AND query_id <> id),
-        g AS (SELECT query_id, min(rank) FILTER (WHERE ql = l) AS best_rank FROM h GROUP BY 1) SELECT query_id, best_rank, coalesce(best_rank <= 1, false)::INT AS hit_at_1, coalesce(best_rank <= 3, false)::INT AS hit_at_3, coalesce(best_rank <= 5, false)::INT AS hit_at_5, coalesce(best_rank <= 10, false)::INT AS hit_at_10 FROM g""",
+    "embedding_hit_at_k": f"WITH {_HITS} SELECT query_id, best_rank, hit_at_1, hit_at_3, hit_at_5, hit_at_10 FROM g",
+    "embedding_rollup": f"""WITH {_HITS} SELECT label, count(*) AS cases, round(avg((best_rank IS NOT NULL)::INT), 6) AS pass_rate, round(avg(hit_at_1), 6) AS recall_at_1, round(avg(hit_at_3), 6) AS recall_at_3, round(avg(hit_at_5), 6) AS recall_at_5, round(avg(hit_at_10), 6) AS recall_at_10,
+        round(avg(best_rank), 6) AS mean_rank, median(best_rank) AS median_rank, count(best_rank) AS ranked, round(avg(wrong_share), 6) AS mean_wrong_share FROM g GROUP BY label""",
     "prior_values": f"WITH {_REQ}, p AS (SELECT legal_family, last_value(nullif(legal_family, '') IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY recorded_at, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM req WHERE trace_id IS NOT NULL) SELECT {_UNKNOWN.format('legal_family')} AS family, coalesce(prior, 'none') AS prior_family, count(*) AS requests FROM p GROUP BY 1, 2",
     "user_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g), n AS (SELECT user_id, sid, count(*) AS events FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(events) AS most_events FROM n GROUP BY 1",
 }

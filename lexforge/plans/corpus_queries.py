@@ -130,9 +130,9 @@ SQL = {
     "chunk_validation": rf"WITH {_CH}, r AS (SELECT CASE WHEN coalesce(length(child_chunk_id), 0) = 0 THEN 'missing id' WHEN coalesce(length(parent_chunk_id), 0) = 0 THEN 'missing parent' WHEN NOT coalesce(regexp_matches(text, '\S'), false) THEN 'empty text' WHEN len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\p{{Z}}\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}]+'), lambda t: t <> '')) > 120 THEN 'too long' ELSE 'valid' END AS reason FROM ch) SELECT reason, count(*) AS chunks FROM r GROUP BY 1",
     "payload_dates": f"WITH {_CH}, d AS (SELECT coalesce(nullif(payload.jurisdiction, ''), 'unknown') AS jurisdiction, try_strptime(trim(payload.date), ['%Y-%m-%d', '%B %d, %Y', '%b %d, %Y', '%d %B %Y', '%d %b %Y', '%d/%m/%Y', '%Y/%m/%d', '%Y%m%d']) AS d FROM ch) SELECT jurisdiction, year(d) AS year, count(*) AS chunks FROM d GROUP BY 1, 2",
     "document_date_mentions": rf"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b{_MONTH} \d{{1,2}}, \d{{4}}\b|\b\d{{1,2}} {_MONTH} \d{{4}}\b')) AS s FROM documents), d AS (SELECT doc_id, try_strptime(s, ['%Y-%m-%d', '%B %d, %Y', '%b %d, %Y', '%d %B %Y', '%d %b %Y']) AS d FROM m) SELECT year(d) AS year, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM d WHERE d IS NOT NULL GROUP BY 1",
-    "legal_reference_counts": r"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:Section|Article|Clause|clause|Rule|Schedule|Exhibit)\s+[A-Z0-9][A-Za-z0-9.-]*[A-Za-z0-9]|\b\d+\s+U\.S\.C\.\s+\d+')) AS reference FROM documents) SELECT reference, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM m GROUP BY 1",
-    "sentence_statistics": r"WITH m AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents WHERE lang = 'en') SELECT doc_id, count(*) AS sentences, max(length(regexp_replace(s, '^\s+|\s+$', '', 'g'))) AS longest FROM m WHERE regexp_replace(s, '^\s+|\s+$', '', 'g') <> '' GROUP BY 1",
-    "plain_text_lengths": r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))) AS canonical_chars, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')), lambda w: NOT list_contains(["
+    "legal_reference_counts": "WITH m AS (SELECT doc_id, unnest(list_concat(" + ", ".join(f"regexp_extract_all(text, '{r}')" for r in t.REFERENCES) + ")) AS reference FROM documents) SELECT reference, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM m GROUP BY 1",
+    "sentence_statistics": r"WITH m AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents) SELECT doc_id, count(*) AS sentences, max(length(regexp_replace(s, '^\s+|\s+$', '', 'g'))) AS longest FROM m WHERE regexp_replace(s, '^\s+|\s+$', '', 'g') <> '' GROUP BY 1",
+    "plain_text_lengths": r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))) AS canonical_chars, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: NOT list_contains(["
     + ", ".join(f"'{w}'" for w in t.STOP_WORDS)
     + "], w))) AS terms FROM documents",
     "dedup_first_seen": "SELECT document_id, count(*) AS parents, sum(parent_token_count)::BIGINT AS tokens FROM (SELECT * FROM parent_chunks QUALIFY row_number() OVER (PARTITION BY parent_chunk_id ORDER BY ingested_at) = 1) GROUP BY 1",

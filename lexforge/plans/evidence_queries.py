@@ -26,8 +26,9 @@ def paragraph_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compressed_parents(spark: SparkSession, folder: str) -> DataFrame:
-    kept = e.compress(_units(spark, folder))
-    return kept.groupBy("parent_chunk_id").agg(F.count("*").alias("units"), F.count_if("kept").alias("kept"), F.sum("size").alias("original_chars"), F.sum(F.when(F.col("kept"), F.col("size")).otherwise(0)).alias("kept_chars"))
+    parents = one_per_key(table(spark, folder, "parent_chunks"), ["parent_chunk_id"], ["ingested_at"], ["text"])
+    kept = e.compress(parents)
+    return kept.groupBy("parent_chunk_id", "original_chars", "compressed_chars").agg(F.count("*").alias("units"), F.count_if("kept").alias("kept"))
 
 
 def _spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,8 +79,11 @@ _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _UNITS = rf"""pa AS (SELECT * FROM parent_chunks QUALIFY row_number() OVER (PARTITION BY parent_chunk_id ORDER BY ingested_at) = 1),
  ps AS (SELECT parent_chunk_id, coalesce(nullif(trim(heading_text), ''), 'Untitled') AS heading, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: {_STRIP.format('p')}), lambda p: p <> '') AS ps FROM pa WHERE text IS NOT NULL),
  u AS (SELECT parent_chunk_id, heading, unnest(ps) AS t, generate_subscripts(ps, 1) - 1 AS position FROM ps)"""
-_QUALIFIED = "(" + " OR ".join(f"contains(lower(t), '{w}')" for w in e.QUALIFIERS) + ")"
-_SCORE = "round(least(length(t) / 80.0::DOUBLE, 1) + " + " + ".join(f"CASE WHEN contains(lower(t), '{w}') THEN 0.35::DOUBLE ELSE 0 END" for w in e.KEYWORDS) + f" + CASE WHEN regexp_matches(t, '[0-9]') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN length(t) < 160 AND {_QUALIFIED} THEN 0.5::DOUBLE ELSE 0 END, 6)"
+_QUALIFIED = "(" + " OR ".join(f"regexp_matches(t, '{q}')" for q in e.QUALIFIERS) + ")"
+_WORDS = r"len(list_filter(regexp_split_to_array(t, '[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+'), lambda w: w <> ''))"
+_SCORE = f"""round(least({_WORDS} / 80.0::DOUBLE, 1) + {" + ".join(f"CASE WHEN contains(lower(t), '{w}') THEN 0.35::DOUBLE ELSE 0 END" for w in e.KEYWORDS)}
+ + CASE WHEN contains(' ' || lower(t) || ' ', ' means ') OR contains(lower(t), 'defined as') THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(lower(t), '{e.DATED}') THEN 0.2::DOUBLE ELSE 0 END
+ + CASE WHEN {_WORDS} <= 35 AND {_QUALIFIED} THEN 0.5::DOUBLE ELSE 0 END, 6)"""
 _SPANS = """runs AS (SELECT * FROM trace_runs QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY loaded_at) = 1),
  parsed AS (SELECT source_path AS root_key, CASE WHEN json_valid(cases) THEN cases::JSON END AS j FROM runs),
  ls AS (SELECT root_key, CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'OBJECT' THEN [j] END AS l FROM parsed),
@@ -92,15 +96,17 @@ _SPANS = """runs AS (SELECT * FROM trace_runs QUALIFY row_number() OVER (PARTITI
 SQL = {
     "evidence_units": f"WITH {_UNITS} SELECT parent_chunk_id || ':' || position AS evidence_unit_id, heading, length(t) AS chars FROM u",
     "paragraph_importance": f"WITH {_UNITS} SELECT parent_chunk_id || ':' || position AS evidence_unit_id, {_SCORE} AS score FROM u",
-    "compressed_parents": f"""WITH {_UNITS}, s AS (SELECT *, {_SCORE} AS score, (position = 0 OR {_QUALIFIED}) AS must, length(t) + 2 AS size FROM u),
-        w AS (SELECT *, sum(CASE WHEN must THEN size ELSE 0 END) OVER (PARTITION BY parent_chunk_id) AS held, coalesce(sum(size) OVER (PARTITION BY parent_chunk_id, must ORDER BY score DESC, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY parent_chunk_id, must ORDER BY score DESC, position) AS place FROM s),
-        k AS (SELECT *, must OR place = 1 OR held + before + size <= 600 AS kept FROM w)
-        SELECT parent_chunk_id, count(*) AS units, count(*) FILTER (WHERE kept) AS kept, sum(size)::BIGINT AS original_chars, sum(CASE WHEN kept THEN size ELSE 0 END)::BIGINT AS kept_chars FROM k GROUP BY 1""",
+    "compressed_parents": f"""WITH {_UNITS}, s AS (SELECT u.*, {_SCORE} AS score, (position = 0 OR {_QUALIFIED}) AS must, length(t) + 2 AS size, length(pa.text) AS original_chars FROM u JOIN pa USING (parent_chunk_id)),
+        w AS (SELECT *, sum(CASE WHEN must THEN size ELSE 0 END) OVER p AS held, coalesce(sum(CASE WHEN must THEN 0 ELSE size END) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER r AS place, count(*) OVER p AS of,
+          greatest(floor(original_chars * CASE WHEN original_chars > 2200 THEN 0.6::DOUBLE ELSE 0.75::DOUBLE END), 900) AS target FROM s WINDOW p AS (PARTITION BY parent_chunk_id), r AS (PARTITION BY parent_chunk_id ORDER BY score DESC, position)),
+        k AS (SELECT *, original_chars <= 900 OR of = 1 OR must OR place = 1 OR held + before - 2 < target AS kept FROM w),
+        g AS (SELECT parent_chunk_id, original_chars, count(*) AS units, count(*) FILTER (WHERE kept) AS kept, (sum(size) FILTER (WHERE kept) - 2)::BIGINT AS joined FROM k GROUP BY ALL)
+        SELECT parent_chunk_id, original_chars, units, kept, CASE WHEN original_chars <= 900 OR units = 1 OR joined >= original_chars THEN original_chars ELSE joined END AS compressed_chars FROM g""",
     "trace_status": f"WITH {_SPANS} SELECT root_key, case_path, count(*) AS spans, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status IN ('partial', 'skipped')) THEN 'partial' ELSE 'success' END AS overall_status FROM spans GROUP BY 1, 2",
     "stage_durations": f"WITH {_SPANS} SELECT stage, count(*) AS spans, count(*) FILTER (WHERE status = 'failed') AS failed, count(duration_ms) AS measured, sum(duration_ms)::BIGINT AS total_ms FROM spans GROUP BY 1",
     "events_after_anchor": "WITH a AS (SELECT *, min(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id) AS anchor_at FROM events) SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS later_errors FROM a WHERE ts > anchor_at GROUP BY 1",
     "review_items_with_case": f"""WITH {_SPANS}, i AS (SELECT review_item_id AS item_id, substr(source_id, length(run_id) + 2) AS case_id, query, coalesce(nullif(family, ''), 'unknown') AS family FROM review_queue QUALIFY row_number() OVER (PARTITION BY review_item_id ORDER BY exported_at) = 1),
-        k AS (SELECT c->>'$.case_id' AS case_id, c->>'$.query' AS query, coalesce(nullif(c->>'$.family', ''), 'unknown') AS family FROM (SELECT unnest(json_extract(j, '$[*]')) AS c FROM parsed WHERE json_type(j) = 'ARRAY') WHERE json_type(c) = 'OBJECT'),
+        k AS (SELECT c->>'$.case_id' AS case_id, c->>'$.query' AS query, coalesce(nullif(c->>'$.family', ''), 'unknown') AS family FROM cs WHERE json_type(c) = 'OBJECT'),
         m AS (SELECT item_id, 'id' AS matched_by FROM i WHERE case_id IN (SELECT case_id FROM k WHERE case_id IS NOT NULL) UNION ALL SELECT item_id, 'query' FROM i WHERE EXISTS (SELECT 1 FROM k WHERE k.query = i.query AND k.family = i.family))
         SELECT item_id, min(matched_by) AS matched_by FROM m GROUP BY 1""",
 }

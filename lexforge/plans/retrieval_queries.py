@@ -124,8 +124,8 @@ SQL = {
     "keyword_topk": f"WITH {_CTE} {_top(_KEYWORD)}",
     "rrf_fusion": f"""WITH {_CTE}, d AS ({_top(_OVERLAP.format(where=''))}), s AS ({_top(_KEYWORD)})
         {_top("SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.id, s.id) AS id, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 6) AS score, (d.id IS NOT NULL)::INT + (s.id IS NOT NULL)::INT AS matched_in, least(d.rank, s.rank) AS best_rank, d.rank AS dense_rank, s.rank AS sparse_rank FROM d FULL JOIN s ON d.query_id = s.query_id AND d.id = s.id", order="score DESC, matched_in DESC, best_rank, id")}""",
-    "lexical_rerank": f"""WITH {_CTE}, h AS ({_top(_OVERLAP.format(where=''))}), u AS (SELECT id, list_distinct(tokens) AS t FROM toks)
-        {_top("SELECT h.query_id, h.id, h.score AS original_score, round(len(list_intersect(q.t, d.t)) / greatest(len(q.t), 1)::DOUBLE + len(list_intersect(d.t, ['section', 'clause', 'shall', 'liability', 'termination', 'agreement'])) * 0.02, 6) AS score FROM h JOIN u d ON d.id = h.id JOIN u q ON q.id = h.query_id", order="score DESC, original_score DESC, id")}""",
+    "lexical_rerank": f"""WITH {_CTE}, h AS ({_top(_OVERLAP.format(where=''))}), u AS (SELECT id, tokens AS t FROM toks)
+        {_top("SELECT h.query_id, h.id, h.score AS original_score, round(len(list_filter(q.t, lambda x: list_contains(d.t, x))) / len(q.t)::DOUBLE + len(list_intersect(list_distinct(d.t), ['means', 'shall', 'must', 'defined', 'rule', 'clause'])) * 0.02::DOUBLE, 6) AS score FROM h JOIN u d ON d.id = h.id JOIN u q ON q.id = h.query_id", order="score DESC, original_score DESC, id")}""",
     "filtered_search_post": f"WITH {_CTE} SELECT query_id, id, score, rank FROM ({_top(_OVERLAP.format(where=''))}) WHERE id IN (SELECT doc_id FROM documents WHERE document_type = 'letter')",
     "filtered_search_pre": f"""WITH {_CTE} {_top(_OVERLAP.format(where="WHERE document_type = 'letter'"))}""",
     "cosine_topk": f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % {EVERY} = 0), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS b FROM embeddings)
