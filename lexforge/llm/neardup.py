@@ -135,19 +135,45 @@ def band_keys(records: DataFrame, width: int, rows: int = ROWS, bands: int = BAN
     return records.select("collection", "text").filter(F.col("text").isNotNull()).mapInArrow(run, "band bigint, class bigint")
 
 
-def shared(keys: DataFrame) -> DataFrame:
-    """The rows of bands that several classes have, with the smallest of them as `hub`: most bands are of one class and end here.
+#: Rows of band keys that one partition takes: the number of partitions grows with the data, not their size.
+BAND_ROWS = 500_000
 
-    The window and the join of `candidates` need the same partitioning, so bands are shuffled once.
-    """
-    w = Window.partitionBy("band")
-    marked = keys.withColumns({"hub": F.min("class").over(w), "_last": F.max("class").over(w)})
-    return marked.filter(F.col("hub") != F.col("_last")).drop("_last")
 
+def shared(keys: DataFrame, classes: int) -> DataFrame:
+    """(band, class, hub) of the bands that several classes have, hub being the smallest of them: most bands are of one class and end here.
+
+    `classes` is about how many classes there are. Bands are shuffled and sorted once, and read as a stream: a hot band needs no memory.
+    """
+    parts = max(keys.sparkSession.sparkContext.defaultParallelism, -(-classes * BANDS // BAND_ROWS))
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """Distinct pairs (class_a < class_b) of classes that share a band. Bands are joined by key; skewed bands are split by AQE."""
-    held = shared(keys)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # band and hub of the run that the last batch ended in, and whether its hub is out
+        for batch in batches:
+            band, klass = (c.to_numpy() for c in batch.columns)
+            out = False
+            if held:
+                band, klass, out = np.concatenate(([held[0]], band)), np.concatenate(([held[1]], klass)), held[2]
+            # sorted by both, so a repeated row is the one before it again
+            new = np.ones(len(band), bool)
+            new[1:] = (band[1:] != band[:-1]) | (klass[1:] != klass[:-1])
+            band, klass = band[new], klass[new]
+            first = np.ones(len(band), bool)
+            first[1:] = band[1:] != band[:-1]
+            starts = np.flatnonzero(first)
+            length = np.diff(np.append(starts, len(band)))
+            hub = np.repeat(klass[starts], length)
+            several = np.repeat(length > 1, length)
+            if out:
+                several[0] = False
+            held = (band[-1], hub[-1], bool(length[-1] > 1 or (out and len(starts) == 1)))
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (band, klass, hub)], names=["band", "class", "hub"])
+
+    return keys.repartition(parts, "band").sortWithinPartitions("band", "class").mapInArrow(run, "band bigint, class bigint, hub bigint")
+
+
+def candidates(held: DataFrame) -> DataFrame:
+    """Distinct pairs (class_a < class_b) of classes that share a band, from `shared`. Bands are joined by key; skewed bands are split by AQE."""
     a, b = held.select("band", F.col("class").alias("class_a")), held.select("band", F.col("class").alias("class_b"))
     return a.join(b, "band").filter("class_a < class_b").select("class_a", "class_b").distinct()
 
@@ -189,7 +215,7 @@ def verified(pairs: DataFrame, records: DataFrame, width: int, threshold: float)
 
 def alike_classes(records: DataFrame, width: int, threshold: float) -> DataFrame:
     """Verified pairs of classes: class_a, class_b, similarity (at least `threshold`)."""
-    return verified(candidates(band_keys(records, width)), records, width, threshold)
+    return verified(candidates(shared(band_keys(records, width), records.count())), records, width, threshold)
 
 
 def members(records: DataFrame, width: int) -> DataFrame:
@@ -241,7 +267,7 @@ def linked_classes(records: DataFrame, width: int, threshold: float) -> DataFram
     First each class of a band is held against the band's smallest class alone, as many pairs as rows. Then only classes of one band that are
     not yet connected are held against each other: no link between different components is lost, and a large group costs no square of it.
     """
-    keys = cut(shared(band_keys(records, width)), "bands")
+    keys = cut(shared(band_keys(records, width), records.count()), "bands")
     star = keys.filter("class <> hub").select(F.col("hub").alias("class_a"), F.col("class").alias("class_b")).distinct()
     links = cut(verified(star, records, width, threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), "links")
     first = components(links)

@@ -109,3 +109,15 @@ def test_groups_equal_components_of_the_pairs(spark):
     groups = {g.id: g.group for g in n.groups(r, 3, 0.6).collect()}
     by = lambda of: sorted(sorted(i for i in root if of(i) == k) for k in {of(i) for i in root})
     assert len(pairs) >= 59 and by(lambda i: groups[i]) == by(find)
+
+
+def test_shared_bands_across_batches(spark):
+    """Runs that go over the ends of batches, repeated rows, and a band that holds a third of all rows."""
+    rows = [(b, c) for b in range(300) for c in range(b % 4)] + [(1000, c) for c in range(300)] + [(7, 0), (7, 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(tuple(r) for r in n.shared(spark.createDataFrame(rows, "band long, class long"), 1).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted({(b, c, 0) for b, c in rows if b == 1000 or b % 4 > 1})
+    assert got == want
