@@ -80,8 +80,9 @@ def parsed(text: Column) -> Column:
 
 
 def run_cases(runs: DataFrame) -> DataFrame:
-    """One row per case object of each run file: source_path, case_pos, case_id, family, runner_status, grounded, latency_ms, cost_usd,
-    checks (name -> passed), passed.
+    """One row per case object of each run file: source_path, run_id, generated_at_utc, run (time, else id, else file), case_pos, case_id, family,
+    query, runner_status, error, grounded, latency_ms, cost_usd, checks and judges (name -> passed), citations, selected and messages (numbers
+    of members, null where there is no list), warnings, required, depends, passed.
 
     A lone object in place of the list is one case; members that aren't objects are no cases but keep their position; unreadable files have
     none. A case passed if its runner status is ok and no check failed or errored.
@@ -97,6 +98,8 @@ def run_cases(runs: DataFrame) -> DataFrame:
     def first(name: str, as_type: str) -> Column:
         return F.coalesce(got(f"$.system_result.{name}", as_type), got(f"$.system_output.{name}", as_type))
 
+    file = F.regexp_extract("source_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    run = F.coalesce(F.nullif(F.col("generated_at_utc"), F.lit("")), F.nullif(F.col("run_id"), F.lit("")), file)
     checks = F.coalesce(F.transform_values(got("$.deterministic_eval_results", "map<string,variant>"), lambda _, x: F.try_variant_get(x, "$.passed", "boolean")), F.create_map().cast("map<string,boolean>"))
     rows = each.select(
         "source_path", "run_id", "generated_at_utc", "case_pos",
@@ -107,6 +110,16 @@ def run_cases(runs: DataFrame) -> DataFrame:
         first("latency_ms", "double").alias("latency_ms"),
         first("cost_usd", "double").alias("cost_usd"),
         checks.alias("checks"),
+        run.alias("run"),
+        got("$.query", "string").alias("query"),
+        got("$.error", "string").alias("error"),
+        F.coalesce(F.transform_values(got("$.llm_judge_results", "map<string,variant>"), lambda _, x: F.try_variant_get(x, "$.passed", "boolean")), F.create_map().cast("map<string,boolean>")).alias("judges"),
+        F.size(first("citations", "array<variant>")).alias("citations"),
+        first("warnings", "array<string>").alias("warnings"),
+        F.size(got("$.selected_document_ids", "array<variant>")).alias("selected"),
+        got("$.selected_document_required", "boolean").alias("required"),
+        got("$.follow_up.depends_on_prior_turn", "boolean").alias("depends"),
+        F.size(got("$.follow_up.prior_messages", "array<variant>")).alias("messages"),
     )
     ok = F.coalesce(F.col("runner_status") == "ok", F.lit(False)) & F.forall(F.map_values("checks"), lambda x: F.coalesce(x, F.lit(True)))
     return rows.withColumn("passed", ok)
