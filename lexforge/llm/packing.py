@@ -103,8 +103,8 @@ PACKED_SCHEMA = "container_id int, container_name string, capacity int, containe
 def pack(sizes: DataFrame, capacities: list[tuple[int, str, int]], rows: int) -> DataFrame:
     """PACKED_SCHEMA: the container and position of each text or piece, for each capacity.
 
-    `sizes` has doc_id, tokens (at least 1) and salt, a stored random number in [0, 1); `rows` is its row count. Shards come from the salt,
-    so their size is bounded however often a doc_id is repeated. Empty input gives an empty result.
+    `sizes` has doc_id, tokens (at least 1) and salt, a number in [0, 1) that its doc_id (a unique key) decides; `rows` is its row count. Shards
+    come from the salt, so the same table packs alike however it is split. Empty input gives an empty result.
     """
     shards = max(1, math.ceil(rows / SHARD_ITEMS))
     found = pieces(sizes, capacities)

@@ -103,7 +103,7 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
     if len(specs) > 1000:
         raise ValueError("container_specs is a parameter table of at most 1000 rows")
     documents = table(spark, folder, "documents")
-    sizes = documents.select("doc_id", token_count(F.col("text")).alias("tokens"), F.rand(7).alias("salt"))
+    sizes = documents.select("doc_id", token_count(F.col("text")).alias("tokens"), (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / (1 << 30)).alias("salt"))
     sizes = cut(sizes.withColumn("t", F.explode(F.when(F.col("tokens") > 0, F.array("tokens")))).select("doc_id", "tokens", "salt"), "p6-sizes")
     return packing.pack(sizes, [tuple(r) for r in specs], sizes.count())
 
