@@ -60,11 +60,24 @@ def _parsed(body: Column) -> Column:
     return F.when(whole, F.try_parse_json(text))
 
 
-def line_fields(lines: DataFrame, depth: int = 4) -> DataFrame:
+def nesting(lines: DataFrame) -> int:
+    """How deep objects are nested in the lines, at most: one plain aggregate over the texts. Braces inside strings may make it too large."""
+    braces = F.regexp_extract_all("body", F.lit(r"[{}]"), F.lit(0))
+    step = F.struct(F.lit(0).alias("at"), F.lit(0).alias("top"))
+
+    def count(state: Column, brace: Column) -> Column:
+        at = state["at"] + F.when(brace == "{", 1).otherwise(-1)
+        return F.struct(at.alias("at"), F.greatest(state["top"], at).alias("top"))
+
+    opened = F.length("body") - F.length(F.replace("body", F.lit("{")))
+    return lines.agg(F.max(F.when(opened <= 1, opened).otherwise(F.aggregate(braces, step, count)["top"]))).first()[0] or 0
+
+
+def line_fields(lines: DataFrame, depth: int) -> DataFrame:
     """One row per line and (nested) member: stream_name, file_name, file_seq, name, kind, valid, first.
 
-    kind is integer, decimal, string, boolean, null or other. Members of nested objects are named `outer.inner`, down to `depth` names. A
-    line without members, and one that isn't valid JSON, keep one row with a null name; `first` marks one row per line.
+    kind is integer, decimal, string, boolean, null or other. Members of nested objects are named `outer.inner`, down to `depth` names (see
+    `nesting`: the deepest line sets it, so that no member is left out). A line without members, and one that isn't valid JSON, keep one row with a null name; `first` marks one row per line.
     """
     df = lines.select("stream_name", "file_name", "file_seq", _parsed(F.col("body")).alias("v")).withColumn("valid", F.col("v").isNotNull())
     df = df.withColumns({"name": F.lit(None).cast("string"), "first": F.lit(True)})
@@ -97,7 +110,7 @@ def catalogue(raw: DataFrame, share: float = 0.5) -> DataFrame:
     A file carries a field under a name and type if more than `share` of its valid lines hold a non-null value of both. ordinal numbers the
     files of a stream by file_seq, then name.
     """
-    counted = line_fields(unique_lines(raw)).groupBy("stream_name", "file_name", "file_seq", "name", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("valid") & F.col("first")).alias("lines"))
+    counted = line_fields(unique_lines(raw), max(nesting(raw), 1)).groupBy("stream_name", "file_name", "file_seq", "name", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("valid") & F.col("first")).alias("lines"))
     per_file = Window.partitionBy("stream_name", "file_name", "file_seq")
     seen = counted.withColumn("lines", F.sum("lines").over(per_file))
     real = F.col("name").isNotNull() & ~F.col("kind").isin("null", "other")
@@ -159,23 +172,39 @@ def _number(value: Column) -> Column:
     return text.try_cast("double")
 
 
+#: Names that alias paths go through: objects under them lose their aliased members only.
+_OUTER = tuple(sorted({a.split(".")[0] for f in ALIASES for a in f.aliases if "." in a}))
+
+
 def consistent_table(raw: DataFrame) -> DataFrame:
     """Every valid line in one schema: the keys, the known fields under one name, type and unit, and all other members as JSON.
 
-    Casts come from the alias table: the first alias, in its order, with a value that the type takes. Lines that aren't valid JSON have null
-    fields and valid = false; blank texts in string fields become null.
+    Casts come from the alias table: the first alias, in its order, with a value that the type takes. A field's other aliases, and values that
+    its type doesn't take, stay among the other members. Lines that aren't valid JSON have null fields and valid = false; blank texts in
+    string fields become null.
     """
     df = unique_lines(raw).withColumn("v", _parsed(F.col("body")))
-    columns = []
+    columns, used = [], []
     for f in ALIASES:
-        texts = [(F.try_variant_get("v", f"$.{a}", "string"), factor) for a, factor in f.aliases.items()]
-        if f.as_type == "string":
-            value = F.coalesce(*[F.nullif(F.trim(t), F.lit("")) for t, _ in texts])
-        else:
-            value = F.coalesce(*[_number(t) * factor if factor != 1.0 else _number(t) for t, factor in texts])
-            value = value.try_cast("bigint") if f.as_type == "bigint" else F.round(value, 9)
-        columns.append(value.alias(f.name))
-    known = sorted({a.split(".")[0] for f in ALIASES for a in f.aliases} | {a for f in ALIASES for a in f.aliases})
-    members = F.from_json(F.when(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"), F.to_json("v")), "map<string,string>")
-    rest = F.map_filter(members, lambda k, _: ~k.isin([k for k in known if k not in ("usage", "meta", "timing", "metrics", "billing", "summary", "versions")]))
+        each = []
+        for a, factor in f.aliases.items():
+            text = F.try_variant_get("v", f"$.{a}", "string")
+            if f.as_type == "string":
+                # an object under the name of a text is no value of it
+                value = F.when(~F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{a}", "variant")).startswith("OBJECT"), F.lit(False)), F.nullif(F.trim(text), F.lit("")))
+            else:
+                value = _number(text) * factor if factor != 1.0 else _number(text)
+            each.append(F.when(value.isNotNull(), F.struct(F.lit(a).alias("name"), value.alias("value"))))
+        df = df.withColumn(f"_{f.name}", F.coalesce(*each))
+        value = F.col(f"_{f.name}.value")
+        columns.append((value if f.as_type == "string" else value.try_cast("bigint") if f.as_type == "bigint" else F.round(value, 9)).alias(f.name))
+        used.append(F.col(f"_{f.name}.name"))
+    df = df.withColumn("_used", F.array_compact(F.array(*used)))
+    taken = lambda name: F.array_contains("_used", name)
+    strings = "map<string,string>"
+    members = F.from_json(F.when(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"), F.to_json("v")), strings)
+    inner = lambda k, x: F.to_json(F.map_filter(F.from_json(x, strings), lambda i, _: ~taken(F.concat_ws(".", k, i))))
+    nested = lambda k, x: k.isin(*_OUTER) & F.startswith(F.coalesce(x, F.lit("")), F.lit("{"))
+    rest = F.transform_values(F.map_filter(members, lambda k, _: ~taken(k)), lambda k, x: F.when(nested(k, x), inner(k, x)).otherwise(x))
+    rest = F.map_filter(rest, lambda k, x: ~(k.isin(*_OUTER) & F.coalesce(x == "{}", F.lit(False))))
     return df.select("stream_name", "file_name", "file_seq", "line_no", "record_kind", F.col("v").isNotNull().alias("valid"), *columns, F.to_json(rest).alias("other_fields"))

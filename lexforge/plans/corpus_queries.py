@@ -96,7 +96,7 @@ def dedup_last_write(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_family_windows(spark: SparkSession, folder: str) -> DataFrame:
     """The request stream, windowed by day and family, run over all files."""
-    out = stream.run_to_table(stream.family_windows(stream.read_table(spark, folder, "request_metrics"), lateness="3650 days"))
+    out = stream.run_to_table(stream.family_windows(stream.read_table(spark, folder, "request_metrics")), "update", ["window_start", "family"])
     return out.select(F.to_date("window_start").alias("day"), "family", "requests", "insufficient", "total_tokens")
 
 
@@ -108,7 +108,7 @@ def stream_queue_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_shadow_grades(spark: SparkSession, folder: str) -> DataFrame:
     """Citation checks of the review items, graded as they stream in."""
-    return stream.run_to_table(shadow.shadow_grades(stream.read_table(spark, folder, "review_queue")), mode="append")
+    return stream.run_to_table(shadow.shadow_grades(stream.read_table(spark, folder, "review_queue")), mode="append").dropDuplicates(["id"])
 
 
 QUERIES = {

@@ -28,7 +28,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         "source_path", F.coalesce(got("$.run_id"), got("$.generated_at_utc"), F.regexp_extract("source_path", r"([^/]+?)(?:\.json)?$", 1)).alias("run_id"), time.alias("generated_at"),
         got("$.runner").alias("runner"), F.to_json(F.try_variant_get("v", "$.cases", "variant")).alias("cases"), F.to_json("v").alias("body"),
     )
-    return rows.withColumn("run_order", F.row_number().over(Window.orderBy(F.asc_nulls_first("generated_at"), "source_path")))  # one row a file
+    # the one window over all runs sees a time and a path a run; bodies are joined back by path and go through no single task
+    order = rows.select("source_path", "generated_at").withColumn("run_order", F.row_number().over(Window.orderBy(F.asc_nulls_first("generated_at"), "source_path")))
+    return rows.join(order.select("source_path", "run_order"), "source_path")
 
 
 def newest(spark: SparkSession, path: str) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lexforge.operators.grading import citation_checks
 
 
-def shadow_grades(items: DataFrame) -> DataFrame:
-    """Citation checks of a stream of review items, each item graded once (by its id), a row each."""
-    once = items.dropDuplicates(["review_item_id"])
+def shadow_grades(items: DataFrame, time: str = "exported_at", lateness: str = "60 days") -> DataFrame:
+    """Citation checks of a stream of review items, a row each. Repeats of an id within `lateness` of event time are dropped, and the state of
+    an id ends with it; a repeat after that is graded again, with the same result."""
+    once = items.withWatermark(time, lateness).dropDuplicatesWithinWatermark(["review_item_id"])
     return citation_checks(once.select(F.col("review_item_id").alias("id"), F.col("final_answer").alias("answer"), "citations", F.col("selected_document_ids").alias("scope")))
 
 

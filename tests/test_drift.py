@@ -89,3 +89,22 @@ def test_consistent_table_units(spark):
     assert (rows[0].latency_ms, rows[0].cost_usd, rows[0].legal_family, rows[0].total_tokens) == (1500.0, 0.025, "a", 12)
     assert (rows[1].latency_ms, rows[1].cost_usd, rows[1].run_id) == (1315.0, 0.024, "17")
     assert (rows[2].valid, rows[2].latency_ms, rows[3].valid, rows[3].latency_ms) == (False, None, True, None)
+
+
+def test_members_at_any_depth(spark):
+    """Six levels deep, and lines of different depth in one file."""
+    deep = '{"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}, "x": 1}'
+    files = {1: ['{"x": 1, "t": "a { b { c"}', '{"x": 2}'], 2: [deep, deep]}
+    found = {(r.file_name, r.field_name, r.change_kind) for r in drift.changes(drift.catalogue(raw(spark, files))).collect()}
+    assert found == {("f2", "a.b.c.d.e.f", "added")}
+
+
+def test_members_under_alias_names_are_kept(spark):
+    import json
+
+    lines = ['{"run": {"id": "r1", "started_at": "t"}, "latency_ms": 5, "latency_s": 9, "usage": {"cost_usd": 1, "cached": 3}}', '{"run": "r2", "cost": "n/a", "meta": {"run_id": "r3"}}', '{"run_id": "r4"}']
+    rows = drift.consistent_table(raw(spark, {1: lines})).orderBy("line_no").collect()
+    assert [r.run_id for r in rows] == ["r1", "r3", "r4"]
+    rest = [json.loads(r.other_fields) for r in rows]
+    assert json.loads(rest[0].pop("run")) == {"started_at": "t"} and json.loads(rest[0].pop("usage")) == {"cached": "3"} and rest[0] == {"latency_s": "9"}
+    assert rest[1:] == [{"run": "r2", "cost": "n/a"}, {}]

@@ -153,3 +153,26 @@ def test_state_of_conversations(spark, tmp_path):
     q = last_values(rows, "trace", "at", "family").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
     assert seen == {"a": (3, "y"), "b": (2, "z")}
+
+
+def test_late_rows_are_dropped_and_repeats_end_with_the_watermark(spark, tmp_path):
+    """Three batches: a row behind the watermark that the first one set is late by the third (the second still takes it)."""
+    schema = "request_id string, legal_family string, recorded_at timestamp, insufficient_answer int, total_tokens int"
+    day = lambda d: f"2025-{d:02}-01 00:00:00"
+    for n, rows in enumerate(([("a", "f", day(1)), ("b", "f", day(9))], [("a", "f", day(9))], [("late", "f", day(2)), ("b", "f", day(9)), ("c", "f", day(9))])):
+        spark.createDataFrame([(i, f, t, 0, 1) for i, f, t in rows], "request_id string, legal_family string, t string, insufficient_answer int, total_tokens int").selectExpr("request_id", "legal_family", "timestamp(t) AS recorded_at", "insufficient_answer", "total_tokens").coalesce(1).write.parquet(f"{tmp_path}/{n}/x.parquet")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*/x.parquet")
+    got = sorted((str(r.window_start)[:10], r.requests) for r in stream.run_to_table(stream.family_windows(source, lateness="60 days"), "update", ["window_start", "family"]).collect())
+    assert got == [("2025-01-01", 1), ("2025-09-01", 3)]
+
+
+def test_upsert_stream_resumes(spark, tmp_path):
+    schema = "k string, v int, at int"
+    write = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    run = lambda: sorted(map(tuple, stream.upsert_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), ["k"], "at", f"{tmp_path}/store").collect()))
+    write(0, [("a", 1, 1), ("b", 1, 1)])
+    assert run() == [("a", 1, 1), ("b", 1, 1)]
+    write(1, [("a", 2, 2)])
+    write(2, [("b", 0, 0), ("c", 3, 1)])
+    assert run() == [("a", 2, 2), ("b", 1, 1), ("c", 3, 1)] == run()
+    assert len(stream._versions(spark, f"{tmp_path}/store")) == 2
