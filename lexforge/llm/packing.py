@@ -9,6 +9,7 @@ exactly where the capacity is exceeded.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 
@@ -18,41 +19,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Items of a shard, at most about twice this many.
-SHARD_ITEMS = 1500
+SHARD_ITEMS = 3000
 
 
 def difference(sizes: np.ndarray, windows: int) -> list[list[int]]:
-    """Item indexes of each of `windows` windows with near-equal sums, by Karmarkar-Karp multiway differencing.
+    """Item indexes of each of `windows` windows with near-equal sums, by Karmarkar-Karp multiway differencing. Empty windows are left out.
 
-    A partial partition is held by its window sums, largest first, less the smallest of them; merging pairs the largest sums of one with the
-    smallest of the other. Only sums above the smallest are stored, so partitions of few items stay short. Empty windows may come out.
+    The two partial partitions with the largest imbalances (largest sum less smallest) are merged, the largest sums of one with the smallest of
+    the other, until one is left. A partition is the ascending list of its windows that hold items, as (sum, window); all others are empty. A
+    merged window is a node over two others, and members are read at the end, so that adding a single item to a partition is one insertion.
     """
     if windows <= 1:
         return [list(range(len(sizes)))]
-    # (-imbalance, tie, sums descending of the windows that differ from the smallest, their members, members of the other windows)
-    heap: list[tuple] = [(-int(s), i, [int(s)], [[i]], []) for i, s in enumerate(sizes)]
+    n = len(sizes)
+    over: list[tuple[int, int]] = []  # the two windows below each merged one, numbered from n
+    heap: list[tuple] = [(-s, i, [(s, i)]) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
-    tie = len(sizes)
+    tie = n
     while len(heap) > 1:
-        _, _, a, a_in, a_rest = heapq.heappop(heap)
-        _, _, b, b_in, b_rest = heapq.heappop(heap)
-        # rest: members of windows at the common floor, to be given to the windows without a listed sum
-        fa, fb = windows - len(a), windows - len(b)
-        a_all = list(zip(a + [0] * fa, a_in + a_rest + [[] for _ in range(fa - len(a_rest))]))
-        b_all = list(zip(b + [0] * fb, b_in + b_rest + [[] for _ in range(fb - len(b_rest))])) if len(a) + len(b) > windows or a_rest or b_rest else None
-        if b_all is None:
-            sums = sorted(zip(a + b, a_in + b_in), key=lambda x: -x[0])
-            low = 0 if len(sums) < windows else sums[-1][0]
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        if len(a) < len(b):
+            a, b = b, a
+        met = max(len(a) + len(b) - windows, 0)  # so many windows hold items in both
+        if len(b) == 1 and not met:
+            bisect.insort(a, b[0])
+        elif len(b) == 1:
+            (s, x), (t, y) = a.pop(0), b[0]
+            over.append((x, y))
+            bisect.insort(a, (s + t, n + len(over) - 1))
         else:
-            b_all.reverse()
-            sums = sorted(((x + y, m + n if m and n else m or n) for (x, m), (y, n) in zip(a_all, b_all)), key=lambda x: -x[0])
-            low = sums[-1][0]
-        above = [(s - low, m) for s, m in sums if s > low]
-        rest = [m for s, m in sums if s == low and m]
-        heapq.heappush(heap, (-(above[0][0] if above else 0), tie, [s for s, _ in above], [m for _, m in above], rest))
+            joined = []
+            for (s, x), (t, y) in zip(reversed(a[:met]), b):
+                over.append((x, y))
+                joined.append((s + t, n + len(over) - 1))
+            a = sorted(joined + a[met:] + b[met:])
+        heapq.heappush(heap, (-(a[-1][0] - (a[0][0] if len(a) == windows else 0)), tie, a))
         tie += 1
-    _, _, _, inside, rest = heap[0]
-    return inside + rest
+    found = []
+    for _, top in heap[0][2]:
+        members, stack = [], [top]
+        while stack:
+            x = stack.pop()
+            if x < n:
+                members.append(x)
+            else:
+                stack.extend(over[x - n])
+        found.append(members)
+    return found
 
 
 def fill(sizes: np.ndarray, capacity: int) -> list[list[int]]:
