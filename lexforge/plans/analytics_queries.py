@@ -187,7 +187,7 @@ def embedding_rollup(spark: SparkSession, folder: str) -> DataFrame:
 def prior_values(spark: SparkSession, folder: str) -> DataFrame:
     """For each request of a trace, the family of the last earlier request that had one (hydration of a later turn)."""
     rows = _requests(spark, folder, "trace_id", "legal_family", "recorded_at").filter("trace_id IS NOT NULL")
-    prior = stores.previous_value(rows, ["trace_id"], ["recorded_at", "request_id"], ["legal_family"])
+    prior = stores.previous_value(rows, ["trace_id"], ["recorded_at", "request_id"], ["legal_family"], bucket=F.to_date("recorded_at"))
     return prior.groupBy(a.or_unknown(F.col("legal_family")).alias("family"), F.coalesce("prior_legal_family", F.lit("none")).alias("prior_family")).agg(F.count("*").alias("requests"))
 
 

@@ -7,6 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexforge.functions import text as t
+from pyspark.sql import functions
+
 from lexforge.operators import analytics, chunking, grading, retrieval, stores
 from lexforge.sources import documents, records
 from lexforge.streaming import metrics as stream
@@ -176,3 +178,27 @@ def test_upsert_stream_resumes(spark, tmp_path):
     write(2, [("b", 0, 0), ("c", 3, 1)])
     assert run() == [("a", 2, 2), ("b", 1, 1), ("c", 3, 1)] == run()
     assert len(stream._versions(spark, f"{tmp_path}/store")) == 2
+
+
+def test_chunker_opening_headings_and_leftovers():
+    text = "# Lease Agreement\nbetween A and B\n## Parties\nA, B\n## 1. Term\nten years\n### 1.1 Start\nnow\n"
+    assert chunking.sections(text) == [(["Lease Agreement"], "# Lease Agreement\nbetween A and B\n## Parties\nA, B\n"), (["Lease Agreement", "1. Term"], "## 1. Term\nten years\n"), (["Lease Agreement", "1. Term", "1.1 Start"], "### 1.1 Start\nnow\n")]
+    plain = "# Notes\nx\n## More\ny\n## 1. Term\nz\n"
+    assert [p for p, _ in chunking.sections(plain)] == [["Notes"], ["Notes", "More"], ["Notes", "1. Term"]]
+    long = "## Fees\n" + "Each fee is due at once. " * 60
+    parts = chunking.parts_of(long, 150)
+    assert len(parts) > 1 and all(p.startswith("## Fees\n") and chunking.tokens(p) <= 150 for p in parts)
+    assert "".join(p.removeprefix("## Fees\n") for p in parts) == long.removeprefix("## Fees\n")
+    segments = ["tiny. ", "word " * 40, "end.", "word " * 20, "last"]
+    out = chunking.rebalance(segments, 100)
+    assert "".join(out) == "".join(segments) and out == ["tiny. " + "word " * 40 + "end.", "word " * 20 + "last"]
+    assert chunking.rebalance(segments, 5) == segments
+
+
+def test_previous_value_in_buckets_equals_one_window(spark):
+    rows = [(t, d, i, None if (t * 7 + d * 3 + i) % 4 == 0 else "" if i % 5 == 0 else f"v{d}{i}") for t in range(3) for d in range(6) for i in range(5)] + [(None, 0, 0, "x"), (None, 1, 0, "y")]
+    d = spark.createDataFrame(rows, "t int, d int, i int, v string")
+    plain = stores.previous_value(d, ["t"], ["d", "i"], ["v"])
+    split = stores.previous_value(d, ["t"], ["d", "i"], ["v"], bucket=functions.col("d"))
+    assert sorted(map(str, plain.select("t", "d", "i", "prior_v").collect())) == sorted(map(str, split.select("t", "d", "i", "prior_v").collect()))
+    assert stores.previous_value(d.limit(0), ["t"], ["d", "i"], ["v"], bucket=functions.col("d")).count() == 0
