@@ -22,12 +22,18 @@ def sized(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFra
     return documents.select("doc_id", source_key(F.col("source")).alias("source_name"), token_count(F.col("text"), vocabulary).alias("tokens")).filter("tokens > 0")
 
 
+#: Most rows of a table of targets: it is a parameter table, which every task holds.
+MOST_TARGETS = 1000
+
+
 def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """One row per target: available tokens and documents, wanted tokens, rate (uses per document) and whether the target is out of reach.
 
     The mix aims at `total_tokens`, by default all tokens of the targeted sources. rate = wanted / available, at most max_repeats; a source
     that would need more is used max_repeats times and falls short (`reached` = false), as does one without documents (rate 0).
     """
+    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"targets is a parameter table of at most {MOST_TARGETS} rows")
     have = sizes.groupBy("source_name").agg(F.sum("tokens").alias("available_tokens"), F.count("*").alias("documents"))
     wanted = targets.select(source_key(F.col("source_name")).alias("source_name"), "target_share", "max_repeats")
     rows = wanted.join(F.broadcast(have.join(F.broadcast(wanted.select("source_name")), "source_name", "left_semi")), "source_name", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,18 +11,21 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the vocabulary lies by default; LEXFORGE_VOCABULARY names another place.
+DEFAULT_VOCABULARY = os.environ.get("LEXFORGE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+#: Fixed value: how this byte-level vocabulary cuts a text into words before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=4)
-def encoding(path: str):
+def encoding(path: str, pattern: str = PATTERN):
     """The tokenizer of a rank file; one per worker process."""
-    import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_count(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:

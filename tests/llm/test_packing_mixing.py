@@ -79,3 +79,19 @@ def test_sources_compare_trimmed_and_lower(spark):
 @pytest.mark.parametrize("name", ["p7_mix", "p7_report"])
 def test_queries_run(spark, small, name):
     assert queries.QUERIES[name](spark, small).count() > 0
+
+
+def test_targets_are_a_parameter_table(spark):
+    many = spark.range(mixing.MOST_TARGETS + 1).selectExpr("cast(id AS string) AS source_name", "0.001 AS target_share", "1 AS max_repeats")
+    with pytest.raises(ValueError):
+        mixing.plan(sizes(spark, [("a", 1, 1)]), many)
+
+
+def test_packing_is_the_same_however_the_table_is_split(spark, small):
+    rows = lambda: sorted(map(tuple, queries.p6_containers(spark, small).collect()))
+    first = rows()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert rows() == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
