@@ -61,7 +61,7 @@ def _parsed(body: Column) -> Column:
 
 
 def nesting(lines: DataFrame) -> int:
-    """How deep objects are nested in the lines, at most: one plain aggregate over the texts. Braces inside strings may make it too large."""
+    """How deep objects are nested in the lines, at most: one plain aggregate over the texts, which may name some levels too many."""
     braces = F.regexp_extract_all("body", F.lit(r"[{}]"), F.lit(0))
     step = F.struct(F.lit(0).alias("at"), F.lit(0).alias("top"))
 
@@ -70,7 +70,7 @@ def nesting(lines: DataFrame) -> int:
         return F.struct(at.alias("at"), F.greatest(state["top"], at).alias("top"))
 
     opened = F.length("body") - F.length(F.replace("body", F.lit("{")))
-    return lines.agg(F.max(F.when(opened <= 1, opened).otherwise(F.aggregate(braces, step, count)["top"]))).first()[0] or 0
+    return lines.agg(F.max(F.when(opened <= 3, opened).otherwise(F.aggregate(braces, step, count)["top"]))).first()[0] or 0
 
 
 def line_fields(lines: DataFrame, depth: int) -> DataFrame:

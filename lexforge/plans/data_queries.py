@@ -95,12 +95,12 @@ _L = "cases|citations|spans|warnings|locations|attempts|prior_messages"
 # lone object in place of a list has position 0 in every path through it.
 _TREE = rf"""docs AS (SELECT 'trace_runs' AS table_name, 'cases' AS col, source_path AS root_key, doc FROM (SELECT source_path, arg_min(cases, loaded_at) AS doc FROM trace_runs GROUP BY ALL) WHERE json_valid(doc)
   UNION ALL SELECT 'review_queue', 'citations', review_item_id, doc FROM (SELECT review_item_id, to_json(arg_min(citations, exported_at))::VARCHAR AS doc FROM review_queue GROUP BY ALL) WHERE doc IS NOT NULL),
- t0 AS (SELECT d.table_name, d.root_key, d.col || substr(j.fullkey, 2) AS path, j.id AS o0, 0 AS o1, 0 AS o2, j.type, j.atom FROM docs d, json_tree(d.doc) j),
+ t0 AS (SELECT d.table_name, d.root_key, d.col || substr(j.fullkey, 2) AS path, j.id AS o0, 0 AS o1, 0 AS o2, j.type, j.atom, j.value FROM docs d, json_tree(d.doc) j),
  s1 AS (SELECT table_name, root_key, path, o0, json_extract_string(atom, '$') AS doc FROM t0 WHERE type = 'VARCHAR' AND regexp_matches(path, '\.({_L})$')),
- t1 AS (SELECT s.table_name, s.root_key, s.path || substr(j.fullkey, 2) AS path, s.o0, j.id AS o1, 0 AS o2, j.type, j.atom FROM (SELECT * FROM s1 WHERE starts_with(ltrim(doc), '[') AND json_valid(doc)) s, json_tree(s.doc) j),
+ t1 AS (SELECT s.table_name, s.root_key, s.path || substr(j.fullkey, 2) AS path, s.o0, j.id AS o1, 0 AS o2, j.type, j.atom, j.value FROM (SELECT * FROM s1 WHERE starts_with(ltrim(doc), '[') AND json_valid(doc)) s, json_tree(s.doc) j),
  s2 AS (SELECT table_name, root_key, path, o0, o1, json_extract_string(atom, '$') AS doc FROM t1 WHERE type = 'VARCHAR' AND regexp_matches(path, '\.({_L})$')),
- t2 AS (SELECT s.table_name, s.root_key, s.path || substr(j.fullkey, 2) AS path, s.o0, s.o1, j.id AS o2, j.type, j.atom FROM (SELECT * FROM s2 WHERE starts_with(ltrim(doc), '[') AND json_valid(doc)) s, json_tree(s.doc) j),
- objects AS (SELECT table_name, root_key, o0, o1, o2, regexp_replace(regexp_replace(regexp_replace(path, '^(cases|citations)($|\.)', '\1[0]\2'), '\.({_L})($|\.)', '.\1[0]\2', 'g'), '\.({_L})($|\.)', '.\1[0]\2', 'g') AS node_path
+ t2 AS (SELECT s.table_name, s.root_key, s.path || substr(j.fullkey, 2) AS path, s.o0, s.o1, j.id AS o2, j.type, j.atom, j.value FROM (SELECT * FROM s2 WHERE starts_with(ltrim(doc), '[') AND json_valid(doc)) s, json_tree(s.doc) j),
+ objects AS (SELECT table_name, root_key, o0, o1, o2, value, regexp_replace(regexp_replace(regexp_replace(path, '^(cases|citations)($|\.)', '\1[0]\2'), '\.({_L})($|\.)', '.\1[0]\2', 'g'), '\.({_L})($|\.)', '.\1[0]\2', 'g') AS node_path
   FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2) WHERE type = 'OBJECT'),
  found AS (SELECT * FROM objects WHERE ends_with(node_path, ']'))"""
 

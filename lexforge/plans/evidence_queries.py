@@ -9,7 +9,7 @@ from lexforge.operators import analytics as a
 from lexforge.operators import evidence as e
 from lexforge.operators import nested
 from lexforge.operators.dedup import one_per_key
-from lexforge.plans.data_queries import P1_TABLES, _nodes
+from lexforge.plans.data_queries import _TREE, P1_TABLES, _nodes
 from lexforge.sources.tables import table
 
 
@@ -109,4 +109,7 @@ SQL = {
         k AS (SELECT c->>'$.case_id' AS case_id, c->>'$.query' AS query, coalesce(nullif(c->>'$.family', ''), 'unknown') AS family FROM cs WHERE json_type(c) = 'OBJECT'),
         m AS (SELECT item_id, 'id' AS matched_by FROM i WHERE case_id IN (SELECT case_id FROM k WHERE case_id IS NOT NULL) UNION ALL SELECT item_id, 'query' FROM i WHERE EXISTS (SELECT 1 FROM k WHERE k.query = i.query AND k.family = i.family))
         SELECT item_id, min(matched_by) AS matched_by FROM m GROUP BY 1""",
+    "recent_messages": rf"""WITH {_TREE}, m AS (SELECT root_key, regexp_replace(node_path, '(\.[A-Za-z_0-9]+)+(\[\d+\])+$', '') AS case_path, regexp_extract(node_path, '\[(\d+)\]$', 1)::INT AS position, value->>'$.role' AS role, value->>'$.content' AS content FROM found WHERE regexp_matches(node_path, '\.prior_messages(\[\d+\])+$')),
+        l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY root_key, case_path ORDER BY position DESC) <= 6)
+        SELECT root_key, case_path, string_agg(concat_ws(': ', role, left(coalesce(content, ''), 240)), chr(10) ORDER BY position) AS summary FROM l GROUP BY 1, 2""",
 }
