@@ -31,7 +31,7 @@ Segment = tuple[int, int, str, tuple[str, ...]]  # start, end, type, features
 _AT = r"(?:\s{0,2}@\s{0,2}|\s{0,2}[\[({<]\s?[Aa][Tt]\s?[\])}>]\s{0,2}|\s{1,2}AT\s{1,2}(?=[\w.-]+\s{1,2}DOT\s)|\s{1,2}at\s{1,2}(?=[\w.-]+\s{1,2}dot\s))"
 _DOT = r"(?:\.|\s{0,2}[\[({<]\s?[Dd][Oo][Tt]\s?[\])}>]\s{0,2}|\s{1,2}(?:DOT|dot)\s{1,2})"
 EMAIL = re.compile(rf"(?<![\w.+-])[\w+%-]+(?:\.[\w+%-]+)*{_AT}[a-zA-Z0-9-]+(?:{_DOT}[a-zA-Z0-9-]+)+")
-EMAIL_CUE = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sAT\s|\sat\s+[\w-]+\s+dot\s", re.IGNORECASE)
+EMAIL_CUE = re.compile(r"@|[\[({<]\s?[Aa][Tt]\s?[\])}>]|\sAT\s|\sat\s+[\w.-]+\s+dot\s")
 
 _S = r"[\s ]{0,2}[-./‐‑–]?[\s ]{0,2}"
 NUMBER = re.compile(
@@ -42,6 +42,9 @@ NUMBER = re.compile(
     rf")(?![\w]|[.,]\d|-\d)(?:\s{{0,2}}(?:ext|x|extension)\.?\s{{0,2}}\d{{1,5}})?",
     re.IGNORECASE,
 )
+#: Stretches of digits and what may stand between them: every phone and identity number holds one, with little before and after it.
+CLUSTER = re.compile(r"\d[\d\s().+/‐‑–-]{4,}\d")
+BEFORE, AFTER = 8, 16
 IDENTITY = re.compile(
     r"(?<![\w$£€])(?<!\d[.,/-])(?:"
     r"(?P<health>\d{4}[- ]{1,2}\d{3}[- ]{1,2}\d{3}[- ]{1,2}[A-Z]{2})"
@@ -93,6 +96,18 @@ def _left(text: str, start: int) -> list[str]:
     return found
 
 
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Where numbers of persons may be: the clusters of digits with their surroundings, those that touch put together."""
+    out: list[tuple[int, int]] = []
+    for m in CLUSTER.finditer(text):
+        a, b = max(m.start() - BEFORE, 0), min(m.end() + AFTER, len(text))
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def _numbers(text: str) -> Iterator[Segment]:
     for m in EMAIL.finditer(text) if EMAIL_CUE.search(text) else ():
         s = m.group()
@@ -100,13 +115,14 @@ def _numbers(text: str) -> Iterator[Segment]:
         yield m.start(), m.start() + len(s.rstrip()), "email", tuple(["bias", "at_sign" if "@" in s else "spelled_at", "letters_end" if last.isalpha() and len(last) > 1 else "odd_end"] + (["broken"] if re.search(r"@\s|\s@", s) else []))
     if not _DIGIT.search(text):
         return
-    for m in NUMBER.finditer(text):
+    near = _stretches(text)
+    for m in (m for a, b in near for m in NUMBER.finditer(text, a, b)):
         s = m.group()
         digits = sum(c.isdigit() for c in re.split(r"(?i)[ex]", s)[0])
         f = ["bias", f"form={m.lastgroup}", f"digits={digits}" if 9 < digits < 14 else "digits=odd", "separated" if re.search(r"\d[\s ./)-]+\d", s) else "bare"]
         f += ["plus"] if s[0] == "+" else ["parenthesis"] if s[0] == "(" else []
         yield m.start(), m.end(), "phone", tuple(f + _left(text, m.start()))
-    for m in IDENTITY.finditer(text):
+    for m in (m for a, b in near for m in IDENTITY.finditer(text, a, b)):
         s = m.group()
         f = ["bias", f"form={m.lastgroup}"] + _left(text, m.start())
         if m.lastgroup in ("ssn", "sin", "nine") and not {"after_id_word", "near_id_word"} & set(f):
