@@ -33,10 +33,26 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(order.select("source_path", "run_order"), "source_path")
 
 
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The most recently written file of a folder, as one row (source_path, body)."""
+def read_trace_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The runs of `read_runs` that hold a case: a list with an object in it, or a lone object in its place."""
+    v = F.try_parse_json("cases")
+    listed = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v)).when(F.schema_of_variant(v).startswith("ARRAY"), v.cast("array<variant>"))
+    return read_runs(spark, path).filter(F.exists(listed, lambda c: F.schema_of_variant(c).startswith("OBJECT")))
+
+
+def newest(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """The most recently written file of a folder, as one row (source_path, body). With `strict` a file that is no JSON object fails the read."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_modification_time").alias("at"), "value")
-    return files.agg(F.max_by(F.struct("source_path", F.col("value").alias("body")), F.struct("at", "source_path")).alias("r")).select("r.*")
+    last = files.agg(F.max_by(F.struct("source_path", F.col("value").alias("body")), F.struct("at", "source_path")).alias("r")).select("r.*")
+    if not strict:
+        return last
+    whole = F.coalesce(F.schema_of_variant(parsed(F.col("body"))).startswith("OBJECT"), F.lit(False))
+    return last.withColumn("body", F.when(whole, F.col("body")).otherwise(F.raise_error(F.concat(F.lit("no JSON object: "), F.col("source_path"))).cast("string")))
+
+
+def write_artifact(df: DataFrame, path: str) -> None:
+    """Writes each row as one JSON object a line, nulls included: nested columns keep their form."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("error").text(path)
 
 
 def read_store(spark: SparkSession, path: str, key: str) -> DataFrame:
