@@ -187,11 +187,13 @@ PRIOR, BOUND = 2.0, 4.0
 
 def cleaned(text: Column) -> Column:
     """One kind of blank, one kind of line end, the common character references decoded."""
-    t = F.regexp_replace(text, "\r\n?", "\n")
+    has = lambda sign: F.contains(text, F.lit(sign))
+    t = F.when(has("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
     t = F.regexp_replace(t, r"[\t\x0B\f\u00A0\u1680\u2000-\u200B\u202F\u205F\u3000\uFEFF]+| {2,}", " ")
+    decoded = t
     for reference, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(reference), F.lit(sign))
-    return t
+        decoded = F.replace(decoded, F.lit(reference), F.lit(sign))
+    return F.when(has("&"), decoded).otherwise(t)
 
 
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -258,7 +260,7 @@ def evidence(documents: DataFrame) -> DataFrame:
     Null and blank texts have no row. Quoted mentions are removed first, so a text that only quotes such things isn't flagged.
     """
     d = documents.filter(F.col("text").rlike(r"\S")).withColumn("_t", cleaned(F.col("text")))
-    d = d.withColumn("_q", F.regexp_replace("_t", r"\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“", " "))
+    d = d.withColumn("_q", F.when(_cued(F.col("_t"), ('"', "“", "„")), F.regexp_replace("_t", r"\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“", " ")).otherwise(F.col("_t")))
     d = d.withColumn("_l", F.concat(F.lit("\n"), F.lower("_q")))
     d = d.withColumn("_c", _cue_bits(F.col("_l")))
     has = lambda bit: F.col("_c").bitwiseAND(bit) > 0
