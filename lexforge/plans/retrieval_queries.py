@@ -43,8 +43,8 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The two lists that are fused, written once each: both sides of a fusion read the same lists."""
-    index, queries = r.build_index(_corpus(spark, folder)), _queries(spark, folder)
-    return cut(r.token_overlap(index, queries), "overlap"), cut(r.keyword(index, queries), "keyword")
+    corpus, queries = _corpus(spark, folder), _queries(spark, folder)
+    return cut(r.token_overlap(corpus, queries), "overlap"), cut(r.keyword(corpus, queries), "keyword")
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
