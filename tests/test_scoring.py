@@ -1,6 +1,7 @@
 """Scores of whole batches of queries stay in the tasks that read the documents."""
 
 import math
+import pathlib
 from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -8,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lexforge.operators import retrieval, scoring
+from lexforge.session import shared_dir
 
 
 def shuffled(df) -> int:
@@ -91,3 +94,13 @@ def test_rare_terms_are_added_in_pieces(monkeypatch, pairs):
     sums = np.zeros((6, 8))
     scoring._add_rare(sums, query, term, left[query, term], start, np.diff(start), doc, right[of, doc])
     assert np.allclose(sums, left @ right)
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion"])
+def test_lists_are_merged_without_postings_of_the_corpus(spark, small, name):
+    def written():
+        return {p.name for p in pathlib.Path(shared_dir(spark).removeprefix("file://")).glob("postings-*")}
+
+    before = written()
+    assert entry.queries()[name](spark, small).count() > 0
+    assert written() == before
