@@ -162,7 +162,8 @@ def _scope(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def scoped_search_post(spark: SparkSession, folder: str) -> DataFrame:
     """Hits outside a query's matter are dropped after the ranking; queries without a matter keep all."""
     docs, scope = _scope(spark, folder)
-    return k.in_scope(rq.token_overlap_topk(spark, folder).join(docs, "id"), scope, pushdown=False).select("query_id", "id", "score", "rank")
+    hits = cut(rq.token_overlap_topk(spark, folder), "hits")  # both sides of the scope read them
+    return k.in_scope(hits.join(docs, "id"), scope, pushdown=False).select("query_id", "id", "score", "rank")
 
 
 def normal_queries(spark: SparkSession, folder: str) -> DataFrame:

@@ -102,7 +102,7 @@ def _documents(spark, folder) -> str:
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["filtered_search_post", "lexical_rerank"])
+@pytest.mark.parametrize("name", ["filtered_search_post", "lexical_rerank", "scoped_search_post"])
 def test_hits_are_found_without_a_shuffle_of_pairs(spark, tmp_path, name):
     assert shuffled(entry.queries()[name](spark, _documents(spark, tmp_path))) < 30 * 3000 / 3  # 30 queries share a term with 3000 documents
 
