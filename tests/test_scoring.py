@@ -107,7 +107,7 @@ def test_hits_are_found_without_a_shuffle_of_pairs(spark, tmp_path, name):
     assert shuffled(entry.queries()[name](spark, _documents(spark, tmp_path))) < 30 * 3000 / 3  # 30 queries share a term with 3000 documents
 
 
-@pytest.mark.parametrize("name", ["rrf_fusion"])
+@pytest.mark.parametrize("name", ["rrf_fusion", "merged_hits"])
 def test_lists_are_merged_without_postings_of_the_corpus(spark, small, name):
     def written():
         return {p.name for p in pathlib.Path(shared_dir(spark).removeprefix("file://")).glob("postings-*")}
