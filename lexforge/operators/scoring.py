@@ -1,8 +1,8 @@
-"""Scores of a block of queries against batches of tokenised documents, as matrix products inside a task."""
+"""Scores of a block of queries against batches of documents, as matrix products inside a task."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -40,11 +40,43 @@ def _add_rare(sums: np.ndarray, query: np.ndarray, term: np.ndarray, weight: np.
         np.add.at(sums.reshape(-1), np.repeat(query[a:b] * sums.shape[1], m) + doc[pos], np.repeat(weight[a:b], m) * impact[pos])
 
 
-def searcher(weighted: pa.Table, impact: Callable | None, k: int, decimals: int) -> Callable:
-    """A function for mapInArrow over (id, tokens) with the best k of each query in each batch, less those below the best k of batches before.
+#: Impacts that are sums of whole numbers: 1, and 1 + tf / length. Any other is a function of tf and length.
+ONE, SHARE = "one", "share"
 
-    `weighted`: query_id, query_length, divisor, term, weight, all weights and impacts above zero. Whole numbers are summed in single precision,
-    which is exact below 2^24, all others in double precision.
+
+def _table(of: np.ndarray, doc: np.ndarray, held: np.ndarray, asked: np.ndarray, n: int, docs: int) -> tuple:
+    """Impacts by term and document: those of frequent terms as a matrix, the others by where each term's documents start."""
+    start = np.searchsorted(of, np.arange(len(asked) + 1))
+    count = np.diff(start)
+    filled = count * asked
+    most = np.argsort(-filled, kind="stable")[:COLUMNS]
+    most = most[filled[most] >= FILLED * n * docs]
+    column = np.full(len(asked), -1)
+    column[most] = np.arange(len(most))
+    frequent = column[of] >= 0
+    right = np.zeros((len(most), docs), held.dtype)
+    right[column[of[frequent]], doc[frequent]] = held[frequent]
+    return column, right, start, count, doc, held
+
+
+def _product(table: tuple, queries: int, query: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of weight * impact of each query and document."""
+    column, right, start, count, doc, held = table
+    dense = column[term] >= 0
+    left = np.zeros((queries, len(right)), held.dtype)
+    left[query[dense], column[term[dense]]] = weight[dense]
+    sums = left @ right
+    _add_rare(sums, query[~dense], term[~dense], weight[~dense].astype(held.dtype), start, count, doc, held)
+    return sums
+
+
+def searcher(weighted: pa.Table, impacts: Sequence[Callable | str], k: int, decimals: int) -> Callable:
+    """A function for mapInArrow over (id, lower-case text) with the best k of each query in each batch, less those below the best k of batches
+    before; `list` is the impact's place in `impacts`.
+
+    `weighted`: query_id, query_length, divisor, term, weight, all weights and impacts above zero. Whole numbers are summed in single precision
+    where that is exact (below 2^24), all others in double precision. The sum of weight * (1 + tf / length) is one + (one + more) / length with
+    the sums of weight and of weight * (tf - 1), which are whole and share their matrices with the first list.
     """
     weighted = weighted.sort_by([("query_id", "ascending"), ("query_length", "ascending")]).combine_chunks()
     ids, per = weighted["query_id"], weighted["divisor"].to_numpy().astype(np.float64)
@@ -56,64 +88,76 @@ def searcher(weighted: pa.Table, impact: Callable | None, k: int, decimals: int)
     names, per, bounds = ids.take(pa.array(starts)).combine_chunks(), per[starts], np.append(starts, len(term))
     n, size = len(starts), len(vocabulary)
     asked = np.bincount(term, minlength=size)
-    kind = np.float32 if impact is None and (weight % 1 == 0).all() and weight.sum() < 2**24 else np.float64
-    weight = weight.astype(kind)
+    whole = bool(n) and (weight % 1 == 0).all()
+    kind = np.float32 if whole and np.add.reduceat(weight, starts).max() < 2**24 else np.float64
     unit = 10.0**-decimals
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bar = np.zeros(n)  # each query's k-th score so far
+        bars = np.zeros((len(impacts), n))  # each query's k-th score so far
         for batch in batches:
-            docs, tokens = batch.num_rows, batch.column(1)
+            docs, tokens = batch.num_rows, pc.utf8_split_whitespace(batch.column(1))
             if not docs or not n:
                 continue
             order = pc.sort_indices(batch.column(0)).to_numpy()  # documents are numbered by id: ties keep that order
             number = np.empty(docs, np.int64)
             number[order] = np.arange(docs)
-            long = tokens.value_lengths().to_numpy().astype(np.int64)
+            of_word = np.repeat(number, tokens.value_lengths().to_numpy())
             words = tokens.flatten().dictionary_encode()
-            code = pc.index_in(words.dictionary, value_set=vocabulary).fill_null(-1).to_numpy().astype(np.int64)[words.indices.to_numpy()]
-            key, tf = np.unique((code * docs + np.repeat(number, long))[code >= 0], return_counts=True)
+            code = pc.index_in(words.dictionary, value_set=vocabulary).fill_null(-1).to_numpy().astype(np.int64)
+            blank = pc.equal(words.dictionary, "").to_numpy(zero_copy_only=False)  # before and after outer white space
+            words = words.indices.to_numpy()
+            long = np.bincount(of_word, minlength=docs) - np.bincount(of_word[blank[words]], minlength=docs)
+            code = code[words]
+            key, tf = np.unique((code * docs + of_word)[code >= 0], return_counts=True)
             of, doc = np.divmod(key, docs)
-            held = np.ones(len(key), kind) if impact is None else impact(tf, long[order][doc]).astype(kind)
-            start = np.searchsorted(of, np.arange(size + 1))
-            count = np.diff(start)
-            filled = count * asked
-            most = np.argsort(-filled, kind="stable")[:COLUMNS]
-            most = most[filled[most] >= FILLED * n * docs]
-            column = np.full(size, -1)
-            column[most] = np.arange(len(most))
-            frequent = column[of] >= 0
-            right = np.zeros((len(most), docs), kind)
-            right[column[of[frequent]], doc[frequent]] = held[frequent]
+            tables: dict = {}
+            if ONE in impacts or SHARE in impacts:
+                tables[ONE] = _table(of, doc, np.ones(len(key), kind), asked, n, docs)
+            if SHARE in impacts:
+                more = tf > 1
+                exact = kind if weight.max() * long.max() < 2**24 else np.float64
+                tables[SHARE] = _table(of[more], doc[more], (tf[more] - 1).astype(exact), asked, n, docs)
+                inverse = (1 / np.maximum(long, 1)).astype(exact)
+            for impact in impacts:
+                if callable(impact):
+                    tables[impact] = _table(of, doc, impact(tf, long[doc]).astype(np.float64), asked, n, docs)
             groups = min(docs, max(128, 8 * k))
-            names_at, docs_at, values = [], [], []
+            found: list = []
             for a in range(0, n, CHUNK):
                 b = min(a + CHUNK, n)
                 mine = slice(bounds[a], bounds[b])
-                query, t, w = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1])), term[mine], weight[mine]
-                dense = column[t] >= 0
-                left = np.zeros((b - a, len(most)), kind)
-                left[query[dense], column[t[dense]]] = w[dense]
-                sums = left @ right
-                _add_rare(sums, query[~dense], t[~dense], w[~dense], start, count, doc, held)
-                low = bar[a:b] - unit
-                if groups >= k:  # the k-th of the groups' greatest sums is no more than the k-th sum
-                    wide = docs // groups
-                    tops = sums[:, : groups * wide].reshape(b - a, groups, wide).max(axis=2)
-                    low = np.maximum(low, np.partition(tops, groups - k, axis=1)[:, groups - k] / per[a:b] - unit)
-                low = np.maximum(np.nextafter((low * per[a:b] * (1 - 1e-9)).astype(kind), kind(-np.inf)), np.finfo(kind).tiny)
-                at = np.flatnonzero(sums >= low[:, None])
-                q, d = np.divmod(at, docs)
-                value = half_up(sums.reshape(-1)[at].astype(np.float64) / per[a:b][q], decimals)
-                best = np.lexsort((d, -value, q))
-                q, d, value = q[best], d[best], value[best]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                kth = rank == k - 1
-                bar[a + q[kth]] = np.maximum(bar[a + q[kth]], value[kth])
-                keep = (rank < k) & (value >= bar[a + q])
-                names_at.append(q[keep] + a)
-                docs_at.append(order[d[keep]])
-                values.append(value[keep])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(names_at))), batch.column(0).take(pa.array(np.concatenate(docs_at))), pa.array(np.concatenate(values))], ["query_id", "id", "score"])
+                query = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+                products = {x: _product(table, b - a, query, term[mine], weight[mine]) for x, table in tables.items()}
+                for place_of, (impact, bar) in enumerate(zip(impacts, bars)):
+                    if impact == SHARE:
+                        sums = products[SHARE] + products[ONE]
+                        sums *= inverse
+                        sums += products[ONE]
+                    else:
+                        sums = products[impact]
+                    low = bar[a:b] - unit
+                    if groups >= k:  # the k-th of the groups' greatest sums is no more than the k-th sum
+                        wide = docs // groups
+                        tops = sums[:, : groups * wide].reshape(b - a, groups, wide).max(axis=2)
+                        low = np.maximum(low, np.partition(tops, groups - k, axis=1)[:, groups - k] / per[a:b] - unit)
+                    low = low * per[a:b] * (1 - (1e-6 if impact == SHARE else 1e-9))  # sums of a share are off by 3e-7 of them at most
+                    low = np.maximum(np.nextafter(low.astype(sums.dtype), sums.dtype.type(-np.inf)), np.finfo(sums.dtype).tiny)
+                    at = np.flatnonzero(sums >= low[:, None])
+                    q, d = np.divmod(at, docs)
+                    if impact == SHARE:
+                        one, rest = (products[x].reshape(-1)[at].astype(np.float64) for x in (ONE, SHARE))
+                        total = one + (one + rest) / long[d]
+                    else:
+                        total = sums.reshape(-1)[at].astype(np.float64)
+                    value = half_up(total / per[a:b][q], decimals)
+                    best = np.lexsort((d, -value, q))
+                    q, d, value = q[best], d[best], value[best]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    kth = rank == k - 1
+                    bar[a + q[kth]] = np.maximum(bar[a + q[kth]], value[kth])
+                    keep = (rank < k) & (value >= bar[a + q])
+                    found.append((np.full(keep.sum(), place_of, np.int32), q[keep] + a, order[d[keep]], value[keep]))
+            lists, names_at, docs_at, values = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(lists), names.take(pa.array(names_at)), batch.column(0).take(pa.array(docs_at)), pa.array(values)], ["list", "query_id", "id", "score"])
 
     return search

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.operators import retrieval as r
 from lexforge.operators.dedup import one_per_key
-from lexforge.session import cut, spread
+from lexforge.session import spread
 from lexforge.sources.tables import table
 
 EVERY = 100
@@ -42,9 +42,8 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The two lists that are fused, written once each: both sides of a fusion read the same lists."""
-    corpus, queries = _corpus(spark, folder), _queries(spark, folder)
-    return cut(r.token_overlap(corpus, queries), "overlap"), cut(r.keyword(corpus, queries), "keyword")
+    """The two lists that are fused, of one pass over the corpus and written once: both sides of a fusion read the same lists."""
+    return r.overlap_and_keyword(_corpus(spark, folder), _queries(spark, folder))
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:

@@ -115,3 +115,23 @@ def test_lists_are_merged_without_postings_of_the_corpus(spark, small, name):
     before = written()
     assert entry.queries()[name](spark, small).count() > 0
     assert written() == before
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "merged_hits"])
+def test_both_lists_come_from_one_pass(spark, small, monkeypatch, name):
+    passes = []
+    monkeypatch.setattr(retrieval, "searcher", lambda *a: passes.append(1) or scoring.searcher(*a))
+    assert entry.queries()[name](spark, small).count() > 0
+    assert len(passes) == 1
+
+
+def test_two_lists_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    corpus = [(i, " ".join(f"w{int(w)}" for w in rng.zipf(1.3, int(rng.integers(1, 40))) if w < 60) or "w1") for i in range(200)]
+    corpus += [(300, "w1 " * 5000 + "w2"), (301, " W1　w2\n")]  # products beyond 2^24; outer, wide and other white space
+    c = spark.createDataFrame(corpus, "id long, text string")
+    lists = retrieval.overlap_and_keyword(c.repartition(3), c.filter("id % 10 = 0 OR id > 200").withColumnRenamed("id", "query_id"), 5)
+    plain = [(i, t.lower()) for i, t in corpus]
+    for name, hits in zip(("token_overlap", "keyword"), lists):
+        got = {(r.query_id, r.id, r["rank"], r.score) for r in hits.collect()}
+        assert got == _brute(name, plain, [x for x in plain if x[0] % 10 == 0 or x[0] > 200], 5)
