@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lexforge.functions.text import whitespace_tokens
 from lexforge.operators import retrieval, scoring
 from lexforge.session import shared_dir
 
@@ -135,3 +136,18 @@ def test_two_lists_equal_brute_force(spark):
     for name, hits in zip(("token_overlap", "keyword"), lists):
         got = {(r.query_id, r.id, r["rank"], r.score) for r in hits.collect()}
         assert got == _brute(name, plain, [x for x in plain if x[0] % 10 == 0 or x[0] > 200], 5)
+
+
+@pytest.mark.parametrize("name", ["keyword_topk", "filtered_search_post"])
+def test_texts_are_split_where_they_are_scored(spark, tmp_path, name):
+    hits = entry.queries()[name](spark, _documents(spark, tmp_path))
+    assert "split(" not in hits._jdf.queryExecution().optimizedPlan().toString()  # no row of tokens comes to the products
+
+
+def test_tokens_of_the_products_are_those_of_the_columns(spark):
+    signs = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    c = spark.createDataFrame([(i, f"a{s}b") for i, s in enumerate(signs)], "id long, text string")
+    held = c.filter(F.array_contains(whitespace_tokens(F.col("text")), "a"))
+    q = spark.createDataFrame([(1, "a")], "query_id long, text string")
+    got = {r.id for r in retrieval.keyword(c, q, len(signs)).collect()}
+    assert got == {r.id for r in held.collect()} and 20 < len(got) < 40
