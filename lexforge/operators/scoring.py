@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Queries of one product; most terms of one; share of its cells that a term has to fill to be worth a column; pairs added at once for the others.
 CHUNK, COLUMNS, FILLED, PAIRS = 512, 2048, 0.002, 4_000_000
+#: Documents of a batch that set its first bars, those with most terms; parts of the others, by their number of terms.
+LARGEST, PARTS = 512, 4
 
 
 def half_up(x: np.ndarray, decimals: int) -> np.ndarray:
@@ -74,11 +76,14 @@ def searcher(weighted: pa.Table, impacts: Sequence[Callable | str], k: int, deci
     """A function for mapInArrow over (id, lower-case text) with the best k of each query in each batch, less those below the best k of batches
     before; `list` is the impact's place in `impacts`.
 
+    A document that holds m of a query's terms scores no more than the m heaviest do. For lists of which that is the bound, a batch is taken in
+    parts, documents with most terms first, and a part is only multiplied with the queries whose best k it may enter.
+
     `weighted`: query_id, query_length, divisor, term, weight, all weights and impacts above zero. Whole numbers are summed in single precision
     where that is exact (below 2^24), all others in double precision. The sum of weight * (1 + tf / length) is one + (one + more) / length with
     the sums of weight and of weight * (tf - 1), which are whole and share their matrices with the first list.
     """
-    weighted = weighted.sort_by([("query_id", "ascending"), ("query_length", "ascending")]).combine_chunks()
+    weighted = weighted.sort_by([("query_id", "ascending"), ("query_length", "ascending"), ("weight", "descending")]).combine_chunks()
     ids, per = weighted["query_id"], weighted["divisor"].to_numpy().astype(np.float64)
     length, weight = weighted["query_length"].to_numpy(), weighted["weight"].to_numpy()
     coded = weighted["term"].combine_chunks().dictionary_encode() if len(weighted) else pa.array([], pa.string()).dictionary_encode()
@@ -86,78 +91,111 @@ def searcher(weighted: pa.Table, impacts: Sequence[Callable | str], k: int, deci
     place = ids.combine_chunks().dictionary_encode().indices.to_numpy() if len(weighted) else np.zeros(0, np.int64)
     starts = np.flatnonzero(np.append(True, (np.diff(place) != 0) | (np.diff(length) != 0))[: len(place)])
     names, per, bounds = ids.take(pa.array(starts)).combine_chunks(), per[starts], np.append(starts, len(term))
-    n, size = len(starts), len(vocabulary)
-    asked = np.bincount(term, minlength=size)
+    n, size, terms = len(starts), len(vocabulary), np.diff(bounds)
+    row_of, heaviest = np.repeat(np.arange(n), terms), np.append(0, np.cumsum(weight))
     whole = bool(n) and (weight % 1 == 0).all()
     kind = np.float32 if whole and np.add.reduceat(weight, starts).max() < 2**24 else np.float64
     unit = 10.0**-decimals
 
+    def low_of(bar: np.ndarray, asks: np.ndarray, off: float) -> np.ndarray:
+        """Sums that may be among the best k, where the k-th score is `bar` and sums are off by a share of `off`."""
+        return (bar - unit) * per[asks] * (1 - off)
+
+    def within(most: int, tops: np.ndarray) -> np.ndarray:
+        """The queries whose best k a document with `most` terms may enter."""
+        if impacts != [ONE]:
+            return np.arange(n)
+        reach = heaviest[bounds[:-1] + np.minimum(terms, most)] - heaviest[bounds[:-1]]
+        return np.flatnonzero((reach > 0) & (reach >= low_of(tops[0, :, 0], np.arange(n), 1e-9)))
+
+    def best(of: np.ndarray, doc: np.ndarray, tf: np.ndarray, long: np.ndarray, queries: np.ndarray, tops: np.ndarray) -> Iterator[tuple]:
+        """List, query, document and score of the queries' best k of some documents, which are numbered by id: ties keep that order."""
+        docs = len(long)
+        mine = np.isin(np.arange(n), queries)[row_of]
+        mine_term, mine_weight, ends = term[mine], weight[mine], np.append(0, np.cumsum(terms[queries]))
+        asked = np.bincount(mine_term, minlength=size)
+        tables: dict = {}
+        if ONE in impacts or SHARE in impacts:
+            tables[ONE] = _table(of, doc, np.ones(len(of), kind), asked, len(queries), docs)
+        if SHARE in impacts:
+            more = tf > 1
+            exact = kind if weight.max() * long.max() < 2**24 else np.float64
+            tables[SHARE] = _table(of[more], doc[more], (tf[more] - 1).astype(exact), asked, len(queries), docs)
+            inverse = (1 / np.maximum(long, 1)).astype(exact)
+        for impact in impacts:
+            if callable(impact):
+                tables[impact] = _table(of, doc, impact(tf, long[doc]).astype(np.float64), asked, len(queries), docs)
+        groups = min(docs, max(128, 8 * k))
+        for a in range(0, len(queries), CHUNK):
+            asks = queries[a : a + CHUNK]
+            rows = slice(ends[a], ends[a + len(asks)])
+            query = np.repeat(np.arange(len(asks)), terms[asks])
+            products = {x: _product(table, len(asks), query, mine_term[rows], mine_weight[rows]) for x, table in tables.items()}
+            for place_of, (impact, top) in enumerate(zip(impacts, tops)):
+                if impact == SHARE:
+                    sums = products[SHARE] + products[ONE]
+                    sums *= inverse
+                    sums += products[ONE]
+                else:
+                    sums = products[impact]
+                bar = top[asks, 0]
+                if groups >= k and not bar.all():  # the k-th of the groups' greatest sums is no more than the k-th sum
+                    wide = docs // groups
+                    most = sums[:, : groups * wide].reshape(len(asks), groups, wide).max(axis=2)
+                    bar = np.maximum(bar, np.partition(most, groups - k, axis=1)[:, groups - k] / per[asks])
+                low = low_of(bar, asks, 1e-6 if impact == SHARE else 1e-9)  # sums of a share are off by 3e-7 of them at most
+                low = np.maximum(np.nextafter(low.astype(sums.dtype), sums.dtype.type(-np.inf)), np.finfo(sums.dtype).tiny)
+                at = np.flatnonzero(sums >= low[:, None])
+                q, d = np.divmod(at, docs)
+                if impact == SHARE:
+                    one, rest = (products[x].reshape(-1)[at].astype(np.float64) for x in (ONE, SHARE))
+                    total = one + (one + rest) / long[d]
+                else:
+                    total = sums.reshape(-1)[at].astype(np.float64)
+                value = half_up(total / per[asks][q], decimals)
+                first = np.lexsort((d, -value, q))
+                q, d, value = q[first], d[first], value[first]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                q, d, value, rank = (x[rank < k] for x in (q, d, value, rank))
+                new = np.zeros((len(asks), k))
+                new[q, rank] = value
+                top[asks] = np.partition(np.hstack([top[asks], new]), k, axis=1)[:, k:]
+                yield np.full(len(q), place_of, np.int32), asks[q], d, value
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bars = np.zeros((len(impacts), n))  # each query's k-th score so far
+        tops = np.zeros((len(impacts), n, k))  # each query's best scores so far, the k-th first
         for batch in batches:
             docs, tokens = batch.num_rows, pc.utf8_split_whitespace(batch.column(1))
             if not docs or not n:
                 continue
-            order = pc.sort_indices(batch.column(0)).to_numpy()  # documents are numbered by id: ties keep that order
+            order = pc.sort_indices(batch.column(0)).to_numpy()
             number = np.empty(docs, np.int64)
             number[order] = np.arange(docs)
-            of_word = np.repeat(number, tokens.value_lengths().to_numpy())
+            of_word = np.repeat(number.astype(np.int32), tokens.value_lengths().to_numpy())
             words = tokens.flatten().dictionary_encode()
-            code = pc.index_in(words.dictionary, value_set=vocabulary).fill_null(-1).to_numpy().astype(np.int64)
+            code = pc.index_in(words.dictionary, value_set=vocabulary).fill_null(-1).to_numpy().astype(np.int32 if size * docs < 2**31 else np.int64)
             blank = pc.equal(words.dictionary, "").to_numpy(zero_copy_only=False)  # before and after outer white space
             words = words.indices.to_numpy()
             long = np.bincount(of_word, minlength=docs) - np.bincount(of_word[blank[words]], minlength=docs)
             code = code[words]
             key, tf = np.unique((code * docs + of_word)[code >= 0], return_counts=True)
             of, doc = np.divmod(key, docs)
-            tables: dict = {}
-            if ONE in impacts or SHARE in impacts:
-                tables[ONE] = _table(of, doc, np.ones(len(key), kind), asked, n, docs)
-            if SHARE in impacts:
-                more = tf > 1
-                exact = kind if weight.max() * long.max() < 2**24 else np.float64
-                tables[SHARE] = _table(of[more], doc[more], (tf[more] - 1).astype(exact), asked, n, docs)
-                inverse = (1 / np.maximum(long, 1)).astype(exact)
-            for impact in impacts:
-                if callable(impact):
-                    tables[impact] = _table(of, doc, impact(tf, long[doc]).astype(np.float64), asked, n, docs)
-            groups = min(docs, max(128, 8 * k))
+            held = np.bincount(doc, minlength=docs)
+            by_size = np.argsort(-held, kind="stable")
+            edges = np.append(0, np.linspace(min(LARGEST, docs), docs, PARTS + 1).astype(int)) if impacts == [ONE] else np.array([0, docs])
             found: list = []
-            for a in range(0, n, CHUNK):
-                b = min(a + CHUNK, n)
-                mine = slice(bounds[a], bounds[b])
-                query = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
-                products = {x: _product(table, b - a, query, term[mine], weight[mine]) for x, table in tables.items()}
-                for place_of, (impact, bar) in enumerate(zip(impacts, bars)):
-                    if impact == SHARE:
-                        sums = products[SHARE] + products[ONE]
-                        sums *= inverse
-                        sums += products[ONE]
-                    else:
-                        sums = products[impact]
-                    low = bar[a:b] - unit
-                    if groups >= k:  # the k-th of the groups' greatest sums is no more than the k-th sum
-                        wide = docs // groups
-                        tops = sums[:, : groups * wide].reshape(b - a, groups, wide).max(axis=2)
-                        low = np.maximum(low, np.partition(tops, groups - k, axis=1)[:, groups - k] / per[a:b] - unit)
-                    low = low * per[a:b] * (1 - (1e-6 if impact == SHARE else 1e-9))  # sums of a share are off by 3e-7 of them at most
-                    low = np.maximum(np.nextafter(low.astype(sums.dtype), sums.dtype.type(-np.inf)), np.finfo(sums.dtype).tiny)
-                    at = np.flatnonzero(sums >= low[:, None])
-                    q, d = np.divmod(at, docs)
-                    if impact == SHARE:
-                        one, rest = (products[x].reshape(-1)[at].astype(np.float64) for x in (ONE, SHARE))
-                        total = one + (one + rest) / long[d]
-                    else:
-                        total = sums.reshape(-1)[at].astype(np.float64)
-                    value = half_up(total / per[a:b][q], decimals)
-                    best = np.lexsort((d, -value, q))
-                    q, d, value = q[best], d[best], value[best]
-                    rank = np.arange(len(q)) - np.searchsorted(q, q)
-                    kth = rank == k - 1
-                    bar[a + q[kth]] = np.maximum(bar[a + q[kth]], value[kth])
-                    keep = (rank < k) & (value >= bar[a + q])
-                    found.append((np.full(keep.sum(), place_of, np.int32), q[keep] + a, order[d[keep]], value[keep]))
-            lists, names_at, docs_at, values = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(lists), names.take(pa.array(names_at)), batch.column(0).take(pa.array(docs_at)), pa.array(values)], ["list", "query_id", "id", "score"])
+            for x, y in zip(edges, edges[1:]):
+                if x == y or not len(queries := within(held[by_size[x]], tops)):
+                    continue
+                part = np.sort(by_size[x:y])
+                place = np.full(docs, -1)
+                place[part] = np.arange(y - x)
+                inside = place[doc] >= 0
+                for lists, q, d, value in best(of[inside], place[doc[inside]], tf[inside], long[part], queries, tops):
+                    found.append((lists, q, order[part[d]], value))
+            if found:
+                lists, q, rows, values = (np.concatenate(x) for x in zip(*found))
+                keep = values >= tops[lists, q, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(lists[keep]), names.take(pa.array(q[keep])), batch.column(0).take(pa.array(rows[keep])), pa.array(values[keep])], ["list", "query_id", "id", "score"])
 
     return search

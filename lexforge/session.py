@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "lexforge") -> SparkSession:
@@ -44,13 +45,22 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="lexforge-shared-")
 
 
+#: Splits a core beyond which a table's row groups are taken to be enough.
+FAR_MORE = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many tasks as the session has cores: only a table of fewer input splits (a small one) is repartitioned.
+    """df over at least as many tasks with rows as the session has cores: only a table of fewer (a small one, or one of few row groups) is repartitioned.
 
-    For work that is heavy per row; at scale a table has far more splits and is left as it is, without a shuffle.
+    For work that is heavy per row; at scale a table has far more splits and is left as it is, without a shuffle. A row group is read by one task,
+    however many splits it spans; how many tasks have rows is counted from the files' footers, unless the splits are far more than the cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    tasks = df.rdd.getNumPartitions()
+    if tasks < cores:
+        return df.repartition(cores)
+    few = tasks < FAR_MORE * cores and df.select(F.spark_partition_id()).distinct().count() < cores
+    return df.repartition(cores, df.columns[0]) if few else df  # by the key: no task has to sort a whole row group
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

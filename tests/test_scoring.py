@@ -6,6 +6,7 @@ from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,43 @@ def test_tokens_of_the_products_are_those_of_the_columns(spark):
     q = spark.createDataFrame([(1, "a")], "query_id long, text string")
     got = {r.id for r in retrieval.keyword(c, q, len(signs)).collect()}
     assert got == {r.id for r in held.collect()} and 20 < len(got) < 40
+
+
+def _asked(texts) -> pa.Table:
+    rows = [(i, len(t.split()), len(t.split()), w, float(n)) for i, t in texts for w, n in Counter(t.split()).items()]
+    return pa.table(dict(zip(("query_id", "query_length", "divisor", "term", "weight"), map(list, zip(*rows)))))
+
+
+def _found(search, corpus, batch, k) -> set:
+    """The best k of each list and query of what `search` lets out."""
+    table = pa.table({"id": [i for i, _ in corpus], "text": [t for _, t in corpus]})
+    rows = [tuple(r.values()) for b in search(iter(table.to_batches(max_chunksize=batch))) for r in b.to_pylist()]
+    best = {}
+    for place, query, doc, score in sorted(rows, key=lambda r: (r[0], r[1], -r[3], r[2])):
+        mine = best.setdefault((place, query), [])
+        mine.append((doc, len(mine) + 1, score))
+    return {(*key, *x) for key, xs in best.items() for x in xs[:k]}
+
+
+@pytest.mark.parametrize("impacts", [[scoring.ONE]])
+@pytest.mark.parametrize("largest", [1, 7, 512])
+def test_parts_by_size_equal_brute_force(monkeypatch, impacts, largest):
+    monkeypatch.setattr(scoring, "LARGEST", largest)
+    monkeypatch.setattr(scoring, "CHUNK", 3)
+    rng = np.random.default_rng(4)
+    corpus = [(int(i), " ".join(f"w{int(w)}" for w in rng.zipf(1.3, int(rng.integers(0, 60))) if w < 40)) for i in rng.permutation(400)]
+    queries = [*[x for x in corpus if x[1]][:25], (900, "w1"), (901, "w2 w2 w39 w38"), (902, "zz")]
+    got = _found(scoring.searcher(_asked(queries), impacts, 5, 6), corpus, 60, 5)
+    names = {scoring.ONE: "token_overlap", scoring.SHARE: "keyword"}
+    assert got == {(place, *x) for place, impact in enumerate(impacts) for x in _brute(names[impact], corpus, queries, 5)}
+
+
+@pytest.mark.parametrize("impacts", [[scoring.ONE]])
+def test_documents_that_hold_too_few_terms_are_in_no_product(monkeypatch, impacts):
+    monkeypatch.setattr(scoring, "LARGEST", 50, raising=False)
+    cells, product = [], scoring._product
+    monkeypatch.setattr(scoring, "_product", lambda *a: cells.append((x := product(*a)).size) or x)
+    texts = [(i, " ".join(f"w{(i + j) % 90}" for j in range(60 if i % 10 == 0 else 1 + i % 20))) for i in range(3000)]
+    got = _found(scoring.searcher(_asked(texts[:200:10]), impacts, 5, 6), texts, 1000, 5)
+    assert len(got) == 20 * 5 * len(impacts)
+    assert sum(cells) < 20 * 3000 * (1 + (scoring.SHARE in impacts)) / 2  # a tenth of the documents are long enough
