@@ -93,6 +93,7 @@ def searcher(weighted: pa.Table, impacts: Sequence[Callable | str], k: int, deci
     names, per, bounds = ids.take(pa.array(starts)).combine_chunks(), per[starts], np.append(starts, len(term))
     n, size, terms = len(starts), len(vocabulary), np.diff(bounds)
     row_of, heaviest = np.repeat(np.arange(n), terms), np.append(0, np.cumsum(weight))
+    norms, bounded = np.sqrt(np.bincount(row_of, weight**2, n)), all(x in (ONE, SHARE) for x in impacts)
     whole = bool(n) and (weight % 1 == 0).all()
     kind = np.float32 if whole and np.add.reduceat(weight, starts).max() < 2**24 else np.float64
     unit = 10.0**-decimals
@@ -101,12 +102,17 @@ def searcher(weighted: pa.Table, impacts: Sequence[Callable | str], k: int, deci
         """Sums that may be among the best k, where the k-th score is `bar` and sums are off by a share of `off`."""
         return (bar - unit) * per[asks] * (1 - off)
 
-    def within(most: int, tops: np.ndarray) -> np.ndarray:
-        """The queries whose best k a document with `most` terms may enter."""
-        if impacts != [ONE]:
+    def within(most: int, size: float, tops: np.ndarray) -> np.ndarray:
+        """The queries of which a document with `most` terms may enter a list's best k. The sum of weight * tf / length is no more than the heaviest
+        weight, and than the product of the norms of weights and of tf / length, which is `size` at most."""
+        if not bounded:
             return np.arange(n)
         reach = heaviest[bounds[:-1] + np.minimum(terms, most)] - heaviest[bounds[:-1]]
-        return np.flatnonzero((reach > 0) & (reach >= low_of(tops[0, :, 0], np.arange(n), 1e-9)))
+        may = np.zeros(n, bool)
+        for impact, top in zip(impacts, tops):
+            more = np.minimum(weight[starts], norms * size) if impact == SHARE else 0
+            may |= (reach > 0) & (reach + more >= low_of(top[:, 0], np.arange(n), 1e-6))
+        return np.flatnonzero(may)
 
     def best(of: np.ndarray, doc: np.ndarray, tf: np.ndarray, long: np.ndarray, queries: np.ndarray, tops: np.ndarray) -> Iterator[tuple]:
         """List, query, document and score of the queries' best k of some documents, which are numbered by id: ties keep that order."""
@@ -181,11 +187,12 @@ def searcher(weighted: pa.Table, impacts: Sequence[Callable | str], k: int, deci
             key, tf = np.unique((code * docs + of_word)[code >= 0], return_counts=True)
             of, doc = np.divmod(key, docs)
             held = np.bincount(doc, minlength=docs)
+            sizes = np.sqrt(np.bincount(doc, tf.astype(np.float64) ** 2, docs)) / np.maximum(long, 1)
             by_size = np.argsort(-held, kind="stable")
-            edges = np.append(0, np.linspace(min(LARGEST, docs), docs, PARTS + 1).astype(int)) if impacts == [ONE] else np.array([0, docs])
+            edges = np.append(0, np.linspace(min(LARGEST, docs), docs, PARTS + 1).astype(int)) if bounded else np.array([0, docs])
             found: list = []
             for x, y in zip(edges, edges[1:]):
-                if x == y or not len(queries := within(held[by_size[x]], tops)):
+                if x == y or not len(queries := within(held[by_size[x]], sizes[by_size[x:y]].max(), tops)):
                     continue
                 part = np.sort(by_size[x:y])
                 place = np.full(docs, -1)

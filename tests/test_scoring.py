@@ -170,7 +170,7 @@ def _found(search, corpus, batch, k) -> set:
     return {(*key, *x) for key, xs in best.items() for x in xs[:k]}
 
 
-@pytest.mark.parametrize("impacts", [[scoring.ONE]])
+@pytest.mark.parametrize("impacts", [[scoring.ONE], [scoring.SHARE], [scoring.ONE, scoring.SHARE]])
 @pytest.mark.parametrize("largest", [1, 7, 512])
 def test_parts_by_size_equal_brute_force(monkeypatch, impacts, largest):
     monkeypatch.setattr(scoring, "LARGEST", largest)
@@ -183,7 +183,7 @@ def test_parts_by_size_equal_brute_force(monkeypatch, impacts, largest):
     assert got == {(place, *x) for place, impact in enumerate(impacts) for x in _brute(names[impact], corpus, queries, 5)}
 
 
-@pytest.mark.parametrize("impacts", [[scoring.ONE]])
+@pytest.mark.parametrize("impacts", [[scoring.ONE], [scoring.SHARE], [scoring.ONE, scoring.SHARE]])
 def test_documents_that_hold_too_few_terms_are_in_no_product(monkeypatch, impacts):
     monkeypatch.setattr(scoring, "LARGEST", 50, raising=False)
     cells, product = [], scoring._product
